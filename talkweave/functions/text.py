@@ -1,4 +1,8 @@
-"""Text functions as Spark columns.  Everything here stays inside the JVM."""
+"""Text functions as Spark columns.  Everything here stays inside the JVM.
+
+Each function takes a column name or a SQL expression, and has a ``*_sql`` twin that returns the
+expression as text, so that long expressions reach the JVM in one call.
+"""
 from __future__ import annotations
 
 from pyspark.sql import Column
@@ -10,161 +14,188 @@ from ..fixed_values import STOPWORDS, SYNONYMS
 WS = r"[\s\x0B\x1C-\x1F\u0085   -     　]+"
 TOKEN = r"[a-z0-9]+(?:[.,][0-9]+)*"
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
-NOT_WORD = r"(?![\p{L}\p{N}_])"
+CONTRACTION = r"(?<=[a-z])['’](s|re|ll|d|ve|m)(?![\p{L}\p{N}_])"
+EMPTY = "CAST(array() AS ARRAY<STRING>)"
+
+
+def raw_string(pattern: str) -> str:
+    """SQL literal of a pattern, backslashes kept."""
+    return 'r"' + pattern.replace('"', r"\x22") + '"'
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def squeeze(text) -> Column:
+def squeeze_ends_sql(x: str) -> str:
+    return f"regexp_replace({x}, {raw_string('^' + WS + '|' + WS + '$')}, '')"
+
+
+def squeeze_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, {raw_string(WS)}, ' '))"
+
+
+def words_sql(x: str) -> str:
+    return f"filter(split({squeeze_sql(x)}, ' '), w -> w <> '')"
+
+
+def raw_tokens_sql(x: str) -> str:
+    low = f"replace(replace(replace(lower({x}), '§', ' section '), r\"n't\", ' not'), 'n’t', ' not')"
+    found = f"regexp_extract_all(regexp_replace({low}, {raw_string(CONTRACTION)}, ''), {raw_string(TOKEN)}, 0)"
+    # inside a token a comma only ever joins digits, and "2,00,000" is one numeral
+    return (f"transform({found}, t -> IF(t RLIKE {raw_string('^[0-9][0-9,]*[0-9]$')}, replace(t, ',', ''), t))")
+
+
+def stopword_sql(t: str) -> str:
+    return f"{t} IN ({', '.join(repr(w) for w in STOPWORDS)})"
+
+
+def stem_sql(t: str) -> str:
+    """Suffix stripper for one token: the first suffix that fits decides."""
+    def cut(k: int) -> str:
+        return f"left({t}, length({t}) - {k})"
+
+    def undouble(k: int) -> str:
+        b = cut(k)
+        doubled = f"length({b}) > 3 AND {b} RLIKE r'([^lsz])\\1$'"
+        return f"IF({doubled}, {cut(k + 1)}, {b})"
+
+    def fits(suffix: str, shortest: int) -> str:
+        return f"endswith({t}, '{suffix}') AND length({t}) >= {shortest}"
+
+    base = f"""CASE WHEN {fits('ies', 6)} THEN concat({cut(3)}, 'y')
+        WHEN {fits('sses', 7)} THEN {cut(2)}
+        WHEN {fits('ing', 6)} THEN {undouble(3)}
+        WHEN {fits('ed', 5)} THEN {undouble(2)}
+        WHEN {fits('es', 5)} AND {t} RLIKE r'(s|x|z|ch|sh)es$' THEN {cut(2)}
+        WHEN {fits('s', 4)} AND NOT {t} RLIKE r'(ss|us|is)$' THEN {cut(1)}
+        ELSE {t} END"""
+    return f"""IF(length({t}) <= 3 OR {t} RLIKE r'^[0-9]+$', {t},
+        regexp_replace({base}, r'^(.{{4,}})e$', '$1'))"""
+
+
+def content_tokens_sql(x: str) -> str:
+    return f"transform(filter({raw_tokens_sql(x)}, t -> NOT {stopword_sql('t')}), t -> {stem_sql('t')})"
+
+
+def numbers_sql(x: str) -> str:
+    found = f"regexp_extract_all({x}, {raw_string(NUMBER)}, 0)"
+    return f"array_distinct(transform({found}, n -> replace(n, ',', '')))"
+
+
+def squeeze_ends(x: str) -> Column:
+    """Trim white space at both ends."""
+    return F.expr(squeeze_ends_sql(x))
+
+
+def squeeze(x: str) -> Column:
     """Collapse white space and trim."""
-    return F.trim(F.regexp_replace(_c(text), WS, " "))
+    return F.expr(squeeze_sql(x))
 
 
-def words(text) -> Column:
+def words(x: str) -> Column:
     """Whitespace-separated words; an empty text has none."""
-    flat = squeeze(text)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.expr(words_sql(x))
 
 
-def raw_tokens(text) -> Column:
+def raw_tokens(x: str) -> Column:
     """Lower-cased alphanumeric tokens; numerals lose their thousands commas."""
-    low = F.lower(_c(text))
-    low = F.replace(low, F.lit("§"), F.lit(" section "))
-    low = F.replace(F.replace(low, F.lit("n't"), F.lit(" not")), F.lit("n’t"), F.lit(" not"))
-    low = F.regexp_replace(low, r"(?<=[a-z])['’](s|re|ll|d|ve|m)" + NOT_WORD, "")
-    # commas survive the token pattern only between digits of one numeral
-    found = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.when(t.rlike(r"^[0-9][0-9,]*[0-9]$"),
-                                               F.replace(t, F.lit(","), F.lit(""))).otherwise(t))
-
-
-def is_stopword(token) -> Column:
-    return _c(token).isin(*STOPWORDS)
-
-
-def stem(token) -> Column:
-    """Suffix stripper for one token (a CASE chain, so it compiles with the surrounding stage)."""
-    t = _c(token)
-    n = F.length(t)
-
-    def cut(k: int) -> Column:
-        return F.substring(t, F.lit(1), n - k)
-
-    def undouble(b: Column) -> Column:
-        m = F.length(b)
-        last = F.substring(b, -1, 1)
-        twice = (m > 3) & (last == F.substring(b, m - 1, F.lit(1))) & ~last.isin("l", "s", "z")
-        return F.when(twice, F.substring(b, F.lit(1), m - 1)).otherwise(b)
-
-    hissing = t.endswith("ses") | t.endswith("xes") | t.endswith("zes") | t.endswith("ches") | t.endswith("shes")
-    plain_s = t.endswith("s") & ~(t.endswith("ss") | t.endswith("us") | t.endswith("is"))
-    base = (F.when(t.endswith("ies") & (n >= 6), F.concat(cut(3), F.lit("y")))
-            .when(t.endswith("sses") & (n >= 7), cut(2))
-            .when(t.endswith("ing") & (n >= 6), undouble(cut(3)))
-            .when(t.endswith("ed") & (n >= 5), undouble(cut(2)))
-            .when(hissing & (n >= 5), cut(2))
-            .when(plain_s & (n >= 4), cut(1))
-            .otherwise(t))
-    trimmed = F.when((F.length(base) > 4) & base.endswith("e"),
-                     F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
-    return F.when((n <= 3) | t.rlike("^[0-9]+$"), t).otherwise(trimmed)
-
-
-def content_tokens(text) -> Column:
+    return F.expr(raw_tokens_sql(x))
+
+
+def is_stopword(x: str) -> Column:
+    return F.expr(stopword_sql(x))
+
+
+def stem(x: str) -> Column:
+    return F.expr(stem_sql(x))
+
+
+def content_tokens(x: str) -> Column:
     """Stop-word-free stemmed tokens, in order, duplicates kept."""
-    return F.transform(F.filter(raw_tokens(text), lambda t: ~is_stopword(t)), stem)
+    return F.expr(content_tokens_sql(x))
 
 
-def numbers_in(text) -> Column:
+def numbers_in(x: str) -> Column:
     """Distinct numerals without commas, in order of first appearance."""
-    found = F.regexp_extract_all(_c(text), F.lit(NUMBER), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(""))))
+    return F.expr(numbers_sql(x))
 
 
-def _stemmed_synonyms() -> list[tuple[str, list[str]]]:
-    return [(k, v.split()) for k, v in SYNONYMS.items()]
+# ------------------------------------------------------------------ synonyms
+def synonym_map_sql() -> str:
+    """map(stemmed word -> stemmed written terms): a constant the optimiser folds."""
+    pairs = []
+    for k, vs in SYNONYMS.items():
+        values = ", ".join(stem_sql(repr(v)) for v in vs.split())
+        pairs.append(f"{stem_sql(repr(k))}, array({values})")
+    return f"map({', '.join(pairs)})"
 
 
-def synonym_map() -> Column:
-    """map(stemmed word -> stemmed written terms), a constant of a few dozen entries."""
-    pairs = []
-    for k, vs in _stemmed_synonyms():
-        pairs += [stem(F.lit(k)), F.array(*[stem(F.lit(v)) for v in vs])]
-    return F.create_map(*pairs)
+def synonyms_sql(term: str) -> str:
+    return f"coalesce(try_element_at({synonym_map_sql()}, {term}), {EMPTY})"
 
 
-def expand_terms(tokens) -> Column:
+def expand_terms(tokens: str) -> Column:
     """Append one hop of synonyms, keep the first occurrence of every term added."""
-    toks = _c(tokens)
-    extra = F.flatten(F.transform(toks, lambda t: F.coalesce(F.try_element_at(synonym_map(), t),
-                                                             F.array().cast("array<string>"))))
-    return F.concat(toks, F.array_except(extra, toks))
+    extra = f"flatten(transform({tokens}, t -> {synonyms_sql('t')}))"
+    return F.expr(f"concat({tokens}, array_except({extra}, {tokens}))")
 
 
-def mentions(term, tokens) -> Column:
+def mentions(term: str, tokens: str) -> Column:
     """A term occurs, or a synonym does, or (from five letters on) one is a prefix of the other."""
-    term, tokens = _c(term), _c(tokens)
-    synonyms = F.coalesce(F.try_element_at(synonym_map(), term), F.array().cast("array<string>"))
-    prefix = F.exists(tokens, lambda t: t.startswith(term) | ((F.length(t) >= 5) & term.startswith(t)))
-    return F.array_contains(tokens, term) | F.arrays_overlap(tokens, synonyms) | ((F.length(term) >= 5) & prefix)
+    prefix = f"exists({tokens}, t -> startswith(t, {term}) OR (length(t) >= 5 AND startswith({term}, t)))"
+    return F.expr(f"array_contains({tokens}, {term}) OR arrays_overlap({tokens}, {synonyms_sql(term)}) "
+                  f"OR (length({term}) >= 5 AND {prefix})")
 
 
+# ------------------------------------------------------------------ units and windows
 BULLET = r"^([-*+]|[0-9]+[.)])\s+"
 TABLE_RULE = r"^\|?[\s:|-]+\|?$"
 CELL_RULE = r"^:?-{2,}:?$"
-SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"
-
-
-def sentence_units(text) -> Column:
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\x22'(])"
+
+
+def sentence_units_sql(x: str) -> str:
+    lines = (f"filter(transform(split(block, r'\\R'), l -> {squeeze_ends_sql('l')}), l -> l <> '')")
+    # the row above a table rule is a header
+    body = (f"filter(lines, (l, i) -> NOT (startswith(l, '|') AND coalesce(get(lines, i + 1) RLIKE "
+            f"{raw_string(TABLE_RULE)}, false)))")
+    cells = (r"filter(transform(split(regexp_replace(l, r'^\|+|\|+$', ''), r'\|'), c -> trim(c)), c -> c <> '')")
+
+    def sentences(para: str) -> str:
+        return f"IF(size({para}) > 0, split(array_join({para}, ' '), {raw_string(SENTENCE_GAP)}), {EMPTY})"
+
+    row = (f"IF(forall({cells}, c -> c RLIKE {raw_string(CELL_RULE)}), {EMPTY}, array(array_join({cells}, ' - ')))")
+    bullet = f"l RLIKE {raw_string(BULLET)}"
+    step = f"""CASE WHEN {bullet} THEN named_struct(
+                   'units', concat(acc.units, {sentences('acc.para')}, array(regexp_replace(l, {raw_string(BULLET)}, ''))),
+                   'para', {EMPTY})
+               WHEN startswith(l, '|') THEN named_struct('units', concat(acc.units, {row}), 'para', acc.para)
+               ELSE named_struct('units', acc.units, 'para', concat(acc.para, array(l))) END"""
+    fold = f"""aggregate({body}, named_struct('units', {EMPTY}, 'para', {EMPTY}), (acc, l) -> {step},
+               acc -> concat(acc.units, {sentences('acc.para')}))"""
+    # one binding per block: the lines are used twice
+    per_block = f"flatten(transform(array({lines}), lines -> {fold}))"
+    units = f"flatten(transform(split({x}, r'\\n\\s*\\n'), block -> {per_block}))"
+    return f"filter(transform({units}, u -> {squeeze_sql('u')}), u -> size(split(u, ' ')) >= 3)"
+
+
+def sentence_units(x: str) -> Column:
     """Answer-sized units of a section body: bullets, table rows and sentences of at least three words.
 
     Each blank-line block is folded line by line; a bullet closes the running paragraph, a table
     row does not.
     """
-    empty = F.array().cast("array<string>")
-
-    def sentences(lines: Column) -> Column:
-        return F.when(F.size(lines) > 0, F.split(F.array_join(lines, " "), SENTENCE_GAP)).otherwise(empty)
-
-    def table_row(line: Column) -> Column:
-        inner = F.regexp_replace(line, r"^\|+|\|+$", "")
-        cells = F.filter(F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-        rule = F.forall(cells, lambda c: c.rlike(CELL_RULE))
-        return F.when(rule, empty).otherwise(F.array(F.array_join(cells, " - ")))
+    return F.expr(sentence_units_sql(x))
 
-    def step(acc: Column, line: Column) -> Column:
-        bullet, table = line.rlike(BULLET), line.startswith("|")
-        units = (F.when(bullet, F.concat(acc["units"], sentences(acc["para"]),
-                                         F.array(F.regexp_replace(line, BULLET, ""))))
-                 .when(table, F.concat(acc["units"], table_row(line)))
-                 .otherwise(acc["units"]))
-        para = F.when(bullet, empty).when(table, acc["para"]).otherwise(F.concat(acc["para"], F.array(line)))
-        return F.struct(units.alias("units"), para.alias("para"))
 
-    def block_units(block: Column) -> Column:
-        lines = F.filter(F.transform(F.split(block, r"\R"), lambda x: squeeze_ends(x)), lambda x: x != "")
-        start = F.struct(empty.alias("units"), empty.alias("para"))
-        body = F.filter(lines, lambda x, i: ~(x.startswith("|") & F.coalesce(
-            F.get(lines, i + 1).rlike(TABLE_RULE), F.lit(False))))
-        return F.aggregate(body, start, step, lambda a: F.concat(a["units"], sentences(a["para"])))
-
-    blocks = F.split(_c(text), r"\n\s*\n")
-    units = F.transform(F.flatten(F.transform(blocks, block_units)), squeeze)
-    return F.filter(units, lambda u: F.size(F.split(u, " ")) >= 3)
-
-
-def squeeze_ends(text) -> Column:
-    return F.regexp_replace(_c(text), r"^" + WS + "|" + WS + "$", "")
+def windows_sql(x: str, size: int) -> str:
+    """array<struct<section, section_title, text>>: consecutive runs of ``size`` words."""
+    starts = f"IF(size(w) > 0, sequence(0, size(w) - 1, {size}), CAST(array() AS ARRAY<INT>))"
+    part = (f"transform({starts}, (s, i) -> named_struct('section', i + 1, 'section_title', concat('Part ', i + 1), "
+            f"'text', array_join(slice(w, s + 1, {size}), ' ')))")
+    return f"flatten(transform(array({words_sql(x)}), w -> {part}))"
 
 
-def windows(text, size: int) -> Column:
-    """array<struct<section, section_title, text>>: consecutive runs of ``size`` words."""
-    w = words(text)
-    n = F.size(w)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s, i: F.struct(
-        (i + 1).alias("section"),
-        F.concat(F.lit("Part "), (i + 1).cast("string")).alias("section_title"),
-        F.array_join(F.slice(w, s + 1, size), " ").alias("text")))
+def windows(x: str, size: int) -> Column:
+    return F.expr(windows_sql(x, size))

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.layout import byte_size, top_per_key
+from .topk import prune, result_schema, scan_topk, score_rows, to_batch
 
 BROADCAST_BYTES = 64 << 20
 CELL_ROWS = 1 << 16
@@ -63,33 +63,6 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the k largest per row; among equals the earlier column wins."""
-    n = scores.shape[1]
-    if n <= k:
-        return np.ones(scores.shape, dtype=bool)
-    cut = np.partition(scores, n - k, axis=1)[:, n - k][:, None]
-    above, level = scores > cut, scores == cut
-    room = k - above.sum(axis=1, keepdims=True)
-    return above | (level & (np.cumsum(level, axis=1) <= room))
-
-
-def _block_topk(q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(ids, kind="stable")
-    s = np.round(q @ c[order].T, 6) + 0.0
-    qi, ci = np.nonzero(_best(s, k))
-    return qi, ids[order][ci], s[qi, ci]
-
-
-def _prune(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    qi, ids, sc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((ids, -sc, qi))
-    qi, ids, sc = qi[order], ids[order], sc[order]
-    first = np.searchsorted(qi, qi, side="left")
-    keep = np.arange(len(qi)) - first < k
-    return qi[keep], ids[keep], sc[keep]
-
-
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qkey: str = "qkey", ckey: str = "chunk_id",
                vec: str = "vec", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact k best corpus rows per query by cosine (6 decimals, ties by id): (qkey, ckey, score, rank).
@@ -98,51 +71,31 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qkey: str = "qk
     broadcast and the corpus is read in place.  A larger one is cut, like the corpus, into hashed
     cells, and every pair of cells is scored by one task of bounded size.
     """
-    spark = corpus.sparkSession
-    ktype, ctype = queries.schema[qkey].dataType.simpleString(), corpus.schema[ckey].dataType.simpleString()
-    schema = f"{qkey} {ktype}, {ckey} {ctype}, score double"
+    ddl, schema = result_schema(queries, corpus, qkey, ckey)
     stats = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("d")).first()
     size = byte_size(queries.select(qkey), qkey) + stats["n"] * stats["d"] * 8
     corpus = corpus.select(ckey, vec)
     if size <= broadcast_bytes:
         table = queries.select(qkey, vec).toArrow()            # bounded by the check above
-        shared = spark.sparkContext.broadcast((table.column(qkey).to_numpy(), _matrix(table.column(vec))))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, q = shared.value
-            best: list = []
-            for b in batches:
-                if b.num_rows == 0 or len(keys) == 0:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                best.append(_block_topk(q, ids, _matrix(b.column(1)), k))
-                if len(best) >= 16:
-                    best = [_prune(best, k)]
-            if best:
-                yield _emit(keys, _prune(best, k), out_schema)
-
-        out_schema = _arrow_schema(queries.schema[qkey].dataType, corpus.schema[ckey].dataType, qkey, ckey)
-        local = corpus.mapInArrow(scan, schema)
-    else:
-        local = _grid_topk(queries.select(qkey, vec), corpus, k, qkey, ckey, vec, schema, size, broadcast_bytes)
+        shared = corpus.sparkSession.sparkContext.broadcast((table.column(qkey).to_numpy(), _matrix(table.column(vec))))
+        return scan_topk(corpus, shared, _scorer, k, ddl, schema)
+    local = _grid(queries.select(qkey, vec), corpus, k, qkey, ckey, vec, ddl, schema, size, broadcast_bytes)
     return top_per_key(local, qkey, [F.desc("score"), F.asc(ckey)], k)
 
 
-def _arrow_schema(qtype, ctype, qkey: str, ckey: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
-    return pa.schema([(qkey, to_arrow_type(qtype)), (ckey, to_arrow_type(ctype)), ("score", pa.float64())])
+def _scorer(value):
+    keys, q = value
 
+    def batch(b: pa.RecordBatch):
+        c = _matrix(b.column(1))
+        return b.column(0).to_numpy(zero_copy_only=False), lambda part: q[part] @ c.T
 
-def _emit(keys, best, schema: pa.Schema) -> pa.RecordBatch:
-    qi, ids, sc = best
-    arrays = [pa.array(keys[qi], type=schema.field(0).type), pa.array(ids, type=schema.field(1).type), pa.array(sc)]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    return keys, batch
 
 
-def _grid_topk(queries, corpus, k, qkey, ckey, vec, schema, size, limit) -> DataFrame:
+def _grid(queries, corpus, k, qkey, ckey, vec, ddl, schema, size, limit) -> DataFrame:
     n_q = max(1, math.ceil(size / limit))
     n_c = max(1, math.ceil(corpus.count() / CELL_ROWS))
-    out_schema = _arrow_schema(queries.schema[qkey].dataType, corpus.schema[ckey].dataType, qkey, ckey)
     q = (queries.withColumn("_q", F.pmod(F.xxhash64(qkey), F.lit(n_q)).cast("int"))
          .withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))))
     c = (corpus.withColumn("_c", F.pmod(F.xxhash64(ckey), F.lit(n_c)).cast("int"))
@@ -150,9 +103,9 @@ def _grid_topk(queries, corpus, k, qkey, ckey, vec, schema, size, limit) -> Data
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
-            return out_schema.empty_table()
-        keys = left.column(qkey).to_numpy()
-        best = _block_topk(_matrix(left.column(vec)), right.column(ckey).to_numpy(), _matrix(right.column(vec)), k)
-        return pa.Table.from_batches([_emit(keys, best, out_schema)])
+            return schema.empty_table()
+        keys, m, r = left.column(qkey).to_numpy(), _matrix(left.column(vec)), _matrix(right.column(vec))
+        best = prune(score_rows(right.column(ckey).to_numpy(), lambda part: m[part] @ r.T, len(keys), k, None), k)
+        return pa.Table.from_batches([to_batch(keys, best, schema)])
 
-    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(cell, schema)
+    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(cell, ddl)

@@ -1,11 +1,15 @@
 """Lexical index tables and Okapi BM25 as joins and aggregations."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.layout import top_per_key
+from .topk import result_schema, scan_topk
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
@@ -72,5 +76,54 @@ def bm25_scores(query_terms: DataFrame, posting_rows: DataFrame, avgdl: float,
 
 def bm25_topk(query_terms: DataFrame, posting_rows: DataFrame, avgdl: float, k: int, k1: float = 1.4,
               b: float = 0.75) -> DataFrame:
+    """Top-k from the posting table: a join and a sum, for query blocks of any size."""
     scored = bm25_scores(query_terms, posting_rows, avgdl, k1, b)
     return top_per_key(scored, "qkey", [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def bm25_topk_scan(query_terms: DataFrame, chunks: DataFrame, avgdl: float, k: int, k1: float = 1.4,
+                   b: float = 0.75) -> DataFrame:
+    """The same result for a small (measured) query block, read from the chunk rows.
+
+    A chunk's score is complete inside one row, so every task keeps only its own k best per query;
+    the join above would shuffle a row for every chunk that shares any term with any query.
+    """
+    ddl, schema = result_schema(query_terms, chunks, "qkey", "chunk_id")
+    table = query_terms.groupBy("qkey").agg(F.collect_list(F.struct("term", "idf")).alias("t")).toArrow()
+    keys = table.column("qkey").to_numpy()
+    lists = table.column("t").combine_chunks()
+    flat = lists.flatten()
+    encoded = flat.field("term").dictionary_encode() if len(flat) else pa.array([], pa.string()).dictionary_encode()
+    index = encoded.indices.to_numpy()
+    weights = np.zeros(len(encoded.dictionary))
+    weights[index] = flat.field("idf").to_numpy() if len(flat) else 0.0
+    bounds = lists.offsets.to_numpy() if len(keys) else np.zeros(1, dtype=int)
+    shared = chunks.sparkSession.sparkContext.broadcast((keys, encoded.dictionary, weights, index, bounds))
+
+    def scorer(value):
+        keys, vocabulary, weights, index, bounds = value
+
+        def batch(rows: pa.RecordBatch):
+            tokens = rows.column(1)
+            n, dl = len(tokens), np.diff(tokens.offsets.to_numpy())
+            found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy()
+            owner = np.repeat(np.arange(n), dl)
+            hit = found >= 0
+            pair, tf = np.unique(found[hit].astype(np.int64) * n + owner[hit], return_counts=True)
+            term, row = pair // n, pair % n
+            gain = weights[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+            start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+
+            def score(part: slice) -> np.ndarray:
+                out = np.zeros((part.stop - part.start, n))
+                for i, q in enumerate(range(part.start, part.stop)):
+                    for t in index[bounds[q]:bounds[q + 1]]:
+                        span = slice(start[t], start[t + 1])
+                        out[i, row[span]] += gain[span]       # a chunk occurs once per term
+                return out
+
+            return rows.column(0).to_numpy(zero_copy_only=False), score
+
+        return keys, batch
+
+    return scan_topk(chunks.select("chunk_id", "tokens"), shared, scorer, k, ddl, schema, floor=0.0)

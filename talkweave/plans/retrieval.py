@@ -32,7 +32,7 @@ def query_block(queries: DataFrame, settings: Settings, *, double_stem: bool = F
     token arrays and are stemmed once; ``double_stem`` stems them again for comparison runs.
     """
     def norm(c):
-        return F.lower(T.squeeze_ends(F.coalesce(F.col(c), F.lit(""))))
+        return F.lower(T.squeeze_ends(f"coalesce({c}, '')"))
     q = queries.select(
         "qid", "text", F.coalesce("alt", F.lit("")).alias("alt"),
         F.coalesce(F.col("keywords"), T.content_tokens("text")).alias("kw")).withColumn(
@@ -45,8 +45,10 @@ def query_block(queries: DataFrame, settings: Settings, *, double_stem: bool = F
     readings = main.unionByName(other).withColumn("q_tokens", T.content_tokens("v")).withColumn(
         "q_vec", embed_tokens("q_tokens", settings.embed_dim)).drop("v")
     if double_stem:
-        readings = readings.withColumn("kw", F.when(F.col("variant") == 0, F.transform("kw", T.stem))
+        readings = readings.withColumn("kw", F.when(F.col("variant") == 0, F.expr(f"transform(kw, t -> {T.stem_sql('t')})"))
                                        .otherwise(F.col("kw")))
+    if small:
+        readings = readings.persist()          # read by every stage below, at most a few megabytes
     return QueryBlock(q.select("qid", "qkey"), readings, small)
 
 
@@ -58,8 +60,9 @@ def bm25_lists(block: QueryBlock, index: Index, s: Settings) -> DataFrame:
     terms = block.readings.select(_reading_key().alias("qkey"), F.explode(F.array_distinct("kw")).alias("term"))
     known = index.terms.select("term", "idf").filter(F.col("idf").isNotNull()).join(
         F.broadcast(terms) if block.small else terms, "term")
-    side = F.broadcast(known) if block.small else known
-    return lexical.bm25_topk(side, index.postings, index.avgdl, s.first_stage_n, s.bm25_k1, s.bm25_b)
+    if block.small:
+        return lexical.bm25_topk_scan(known, index.chunks, index.avgdl, s.first_stage_n, s.bm25_k1, s.bm25_b)
+    return lexical.bm25_topk(known, index.postings, index.avgdl, s.first_stage_n, s.bm25_k1, s.bm25_b)
 
 
 def dense_lists(block: QueryBlock, index: Index, s: Settings) -> DataFrame:

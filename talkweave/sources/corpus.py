@@ -21,50 +21,36 @@ CHUNK_COLUMNS = ["chunk_id", "doc_id", "section", "section_title", "doc_title",
 
 
 # ------------------------------------------------------------------ pieces of one document
-def front_matter(raw) -> Column:
+def front_matter(raw: str) -> Column:
     """map(key -> value) of the leading ``---`` block; the last of equal keys wins."""
-    raw = T._c(raw)
-    block = F.regexp_extract(raw, r"(?s)\A---(.*?)\n---", 1)
-    lines = F.filter(F.split(block, r"\R"), lambda x: x.contains(":"))
+    key = T.squeeze_ends_sql("split(l, ':', 2)[0]")
+    value = T.squeeze_ends_sql("split(l, ':', 2)[1]")
+    unquoted = f"""regexp_replace(regexp_replace({value}, r'^\\x22+|\\x22+$', ''), r"^'+|'+$", '')"""
+    lines = f"filter(split(regexp_extract({raw}, r'(?s)\\A---(.*?)\\n---', 1), r'\\R'), l -> contains(l, ':'))"
+    entries = f"transform({lines}, l -> named_struct('k', {key}, 'v', {unquoted}))"
+    last = "filter(e, (x, i) -> NOT exists(slice(e, i + 2, size(e)), y -> y.k = x.k))"
+    return F.expr(f"map_from_entries(flatten(transform(array({entries}), e -> {last})))")
 
-    def entry(line: Column) -> Column:
-        cut = F.instr(line, ":")
-        value = T.squeeze_ends(F.substring(line, cut + 1, F.length(line)))
-        value = F.regexp_replace(F.regexp_replace(value, r'^"+|"+$', ""), r"^'+|'+$", "")
-        return F.struct(T.squeeze_ends(F.substring(line, F.lit(1), cut - 1)).alias("k"), value.alias("v"))
 
-    entries = F.transform(lines, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))),
-                                                    lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+def body_of(raw: str) -> Column:
+    return F.expr(f"regexp_replace({raw}, r'(?s)\\A---.*?\\n---', '')")
 
 
-def body_of(raw) -> Column:
-    return F.regexp_replace(T._c(raw), r"(?s)\A---.*?\n---", "")
-
-
-def sections(body, window_words: int) -> Column:
+def sections(body: str, window_words: int) -> Column:
     """array<struct<section, section_title, text>>: ``## §N`` sections, else headings, else windows."""
-    body = T._c(body)
-
-    def parts(cut: str, head: str) -> Column:
+    def cut(at: str, head: str, number: str, title_group: int) -> str:
         # text before the first heading belongs to no section
-        return F.filter(F.split(body, cut), lambda p: p.rlike(head))
-
-    def section(part: Column, head: str, number: Column, title_group: int) -> Column:
-        return F.struct(number.alias("section"),
-                        T.squeeze_ends(F.regexp_extract(part, head, title_group)).alias("section_title"),
-                        T.squeeze_ends(F.regexp_replace(part, head, "")).alias("text"))
+        parts = f"filter(split({body}, {T.raw_string(at)}), p -> p RLIKE {T.raw_string(head)})"
+        title = T.squeeze_ends_sql(f"regexp_extract(p, {T.raw_string(head)}, {title_group})")
+        text = T.squeeze_ends_sql(f"regexp_replace(p, {T.raw_string(head)}, '')")
+        return f"transform({parts}, (p, i) -> named_struct('section', {number}, 'section_title', {title}, 'text', {text}))"
 
-    numbered = F.transform(parts(SECTION_CUT, SECTION_PART), lambda p: section(
-        p, SECTION_PART, F.regexp_extract(p, SECTION_PART, 1), 2))
-    headed = F.transform(parts(HEADING_CUT, HEADING_PART), lambda p, i: section(
-        p, HEADING_PART, (i + 1).cast("string"), 1))
-    windowed = F.transform(T.windows(body, window_words), lambda w: F.struct(
-        w["section"].cast("string").alias("section"), w["section_title"], w["text"]))
-    return (F.when(body.rlike(SECTION_CUT), numbered)
-             .when(body.rlike(HEADING_CUT), headed)
-             .otherwise(windowed))
+    numbered = cut(SECTION_CUT, SECTION_PART, f"regexp_extract(p, {T.raw_string(SECTION_PART)}, 1)", 2)
+    headed = cut(HEADING_CUT, HEADING_PART, "CAST(i + 1 AS STRING)", 1)
+    windowed = (f"transform({T.windows_sql(body, window_words)}, w -> named_struct('section', CAST(w.section AS STRING), "
+                f"'section_title', w.section_title, 'text', w.text))")
+    return F.expr(f"CASE WHEN {body} RLIKE {T.raw_string(SECTION_CUT)} THEN {numbered} "
+                  f"WHEN {body} RLIKE {T.raw_string(HEADING_CUT)} THEN {headed} ELSE {windowed} END")
 
 
 def doc_id_of_stem(stem_col: Column) -> Column:
@@ -85,7 +71,7 @@ def markdown_chunks(docs: DataFrame, window_words: int = 180) -> DataFrame:
         value = F.try_element_at("meta", F.lit(key))
         return value
 
-    title_head = T.squeeze_ends(F.regexp_extract("body", TITLE_HEAD, 1))
+    title_head = T.squeeze_ends(f"regexp_extract(body, {T.raw_string(TITLE_HEAD)}, 1)")
     filled = base.select(
         "source",
         F.coalesce(F.nullif(meta("doc_id"), F.lit("")), doc_id_of_stem(F.col("stem"))).alias("doc_id"),
@@ -217,16 +203,9 @@ def label(doc_id="doc_id", section="section") -> Column:
     return F.concat(T._c(doc_id), F.lit(" §"), T._c(section))
 
 
-def short_title(title="doc_title") -> Column:
-    return T.squeeze_ends(F.get(F.split(T._c(title), r"\s+-\s+|:\s+"), F.lit(0)))
-
-
-def index_text() -> Column:
-    return F.concat_ws(". ", "doc_title", "section_title", "text")
-
-
-def sentence_index_text(sentence) -> Column:
-    return F.concat(short_title(), F.lit(" - "), F.col("section_title"), F.lit(": "), T._c(sentence))
+SHORT_TITLE = T.squeeze_ends_sql(r"split(doc_title, r'\s+-\s+|:\s+')[0]")
+INDEX_TEXT = "concat_ws('. ', doc_title, section_title, text)"
+SENTENCE_INDEX_TEXT = f"concat({SHORT_TITLE}, ' - ', section_title, ': ', sentence)"
 
 
 # ------------------------------------------------------------------ reports

@@ -52,7 +52,7 @@ def build(spark: SparkSession, chunks: DataFrame, path: str, settings: Settings)
     """Writes every table; each reads the one before it back, so texts are parsed and tokenised once."""
     dim = settings.embed_dim
     base = (with_demotion(chunks).withColumn("label", C.label())
-            .withColumn("tokens", T.content_tokens(C.index_text())))
+            .withColumn("tokens", T.content_tokens(C.INDEX_TEXT)))
     base.withColumn("vec", embed_tokens("tokens", dim)).write.mode("overwrite").parquet(f"{path}/chunks")
     stored = spark.read.parquet(f"{path}/chunks")
     lexical.postings(stored).write.mode("overwrite").parquet(f"{path}/postings")
@@ -63,7 +63,7 @@ def build(spark: SparkSession, chunks: DataFrame, path: str, settings: Settings)
      .write.mode("overwrite").parquet(f"{path}/terms"))
     sent = stored.select("chunk_id", "doc_id", "section", "section_title", "doc_title",
                          F.posexplode("sentences").alias("sent_idx", "sentence"))
-    sent = sent.withColumn("tokens", T.content_tokens(C.sentence_index_text("sentence")))
+    sent = sent.withColumn("tokens", T.content_tokens(C.SENTENCE_INDEX_TEXT))
     (sent.withColumn("vec", embed_tokens("tokens", dim))
      .select("chunk_id", "doc_id", "sent_idx", "sentence", "tokens", "vec")
      .write.mode("overwrite").parquet(f"{path}/sentences"))
