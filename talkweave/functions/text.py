@@ -5,6 +5,8 @@ expression as text, so that long expressions reach the JVM in one call.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,13 +123,32 @@ def numbers_in(x: str) -> Column:
     return F.expr(numbers_sql(x))
 
 
-# ------------------------------------------------------------------ synonyms
+# ------------------------------------------------------------------ constants by stem
+def stem_word(w: str) -> str:
+    """Stem of one word on the driver, for the constant lists below (``stem`` is the column form)."""
+    if len(w) <= 3 or w.isdigit():
+        return w
+    if re.search(r"(?<=...)sses$", w):
+        base = w[:-2]
+    else:
+        rules = ((r"(?<=...)ies$", "y"), (r"(?<=...)ing$", ""), (r"(?<=...)ed$", ""),
+                 (r"(?<=...)(?<=[sxz])es$|(?<=...)(?<=[cs]h)es$", ""), (r"(?<=...)(?<![sui])s$", ""))
+        base = w
+        for n, (pattern, to) in enumerate(rules):
+            if re.search(pattern, w):
+                base = re.sub(pattern, to, w)
+                if n in (1, 2):
+                    base = re.sub(r"^(..+)([^lsz])\2$", r"\1\2", base)
+                break
+    return re.sub(r"^(.{4,})e$", r"\1", base)
+
+
 def synonym_map_sql() -> str:
-    """map(stemmed word -> stemmed written terms): a constant the optimiser folds."""
+    """map(stemmed word -> stemmed written terms)."""
     pairs = []
     for k, vs in SYNONYMS.items():
-        values = ", ".join(stem_sql(repr(v)) for v in vs.split())
-        pairs.append(f"{stem_sql(repr(k))}, array({values})")
+        values = ", ".join(repr(stem_word(v)) for v in vs.split())
+        pairs.append(f"{stem_word(k)!r}, array({values})")
     return f"map({', '.join(pairs)})"
 
 

@@ -72,6 +72,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, qkey: str = "qk
     cells, and every pair of cells is scored by one task of bounded size.
     """
     ddl, schema = result_schema(queries, corpus, qkey, ckey)
+    queries = queries.filter(F.exists(vec, lambda x: x != 0))     # a zero vector ranks nothing
     stats = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("d")).first()
     size = byte_size(queries.select(qkey), qkey) + stats["n"] * stats["d"] * 8
     corpus = corpus.select(ckey, vec)

@@ -337,8 +337,8 @@ def baseline_search(spark, sf):
 def query_cache(spark, sf):
     """Distinct searches behind a workload that asks every passage twice in different spelling."""
     q = I.benchmark_queries(spark, sf)
-    twice = q.unionByName(q.select((F.col("qid") + 1000000).alias("qid"), F.upper(F.concat(F.lit(" "), "text"))
-                                   .alias("text"), "keywords", F.upper("alt").alias("alt")))
+    twice = q.unionByName(q.select((F.col("qid") + 1000000).alias("qid"), F.lower(F.concat(F.lit("  "), "text", F.lit("\n")))
+                                   .alias("text"), "keywords", F.lower("alt").alias("alt")))
     b = R.query_block(twice, S)
     return b.owners.agg(F.count("*").alias("asked"), F.count_distinct("qkey").alias("searched"))
 
