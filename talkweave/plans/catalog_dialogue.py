@@ -10,6 +10,7 @@ from ..operators import dialogue as D
 from ..operators import gate as G
 from ..operators import timeline as L
 from ..operators.dense import embed_tokens
+from ..session import stage
 from . import inputs as I
 from .catalog import S, query
 from .layout import blocked_position
@@ -70,10 +71,14 @@ def spoken_normalise(spark, sf):
 
 def _segmented(spark, sf):
     terms = I.index(spark, sf).terms
-    n = D.normalise(_turns(spark, sf))
+    n = stage(D.normalise(_turns(spark, sf)), "normalised")
     return D.with_vocabulary(n, terms, "turn_key")
 
 
+def _clauses(spark, sf):
+    return stage(D.clauses(_segmented(spark, sf)), "clauses")
+
+
 @query
 def clause_segments(spark, sf):
     c = D.clauses(_segmented(spark, sf))
@@ -83,14 +88,14 @@ def clause_segments(spark, sf):
 
 @query
 def subqueries(spark, sf):
-    q = D.subqueries(D.clauses(_segmented(spark, sf)))
+    q = D.subqueries(_clauses(spark, sf))
     return q.select("turn_key", "n", "text", F.array_join("keywords", " ").alias("keywords"), "origin", "is_anchor", "alt")
 
 
 @query
 def merged_subqueries(spark, sf):
-    q = D.subqueries(D.clauses(_segmented(spark, sf)))
-    q = q.withColumn("vec", embed_tokens("keywords", S.embed_dim))
+    q = D.subqueries(_clauses(spark, sf))
+    q = stage(q.withColumn("vec", embed_tokens("keywords", S.embed_dim)), "subqueries")
     m = D.merge_near_duplicates(q, "turn_key", S.dedup_cosine)
     return m.groupBy("turn_key").agg(F.count("*").alias("queries"), F.count_if(F.col("n") == F.col("owner")).alias("kept"))
 
@@ -99,8 +104,8 @@ def _gated(spark, sf):
     t = _with_previous(_turns(spark, sf)).select(
         "turn_key", "role", "text", (F.col("turn") > 0).alias("has_prev"),
         T.content_tokens("coalesce(prev_text, '')").alias("prev_topic"))
-    n = D.with_vocabulary(D.normalise(t), I.index(spark, sf).terms, "turn_key")
-    return G.rule_gate(n, D.clauses(n))
+    n = stage(D.with_vocabulary(D.normalise(t), I.index(spark, sf).terms, "turn_key"), "normalised")
+    return G.rule_gate(n, stage(D.clauses(n), "clauses"))
 
 
 @query
@@ -118,7 +123,8 @@ def cue_features(spark, sf):
 def trained_gate(spark, sf):
     """Softmax gate fitted to the rule gate's labels of the same turns, then the hybrid decision."""
     rows = G.cue_features(_gated(spark, sf)).withColumn("tokens", T.content_tokens("norm")).select(
-        "turn_key", "has_prev", "tokens", "cues", "label", "confidence").persist()
+        "turn_key", "has_prev", "tokens", "cues", "label", "confidence")
+    rows = stage(rows, "gate_rows")
     model = G.train_gate(rows, "tokens", S.embed_dim)
     h = G.hybrid_gate(G.model_gate(model, rows, "tokens", S.embed_dim))
     return h.groupBy("label", "model_label", "hybrid_label").agg(F.count("*").alias("turns"))
@@ -180,11 +186,11 @@ def dispatch_dedup(spark, sf):
 @query
 def speculative_reuse(spark, sf):
     """Complete clauses were searched while the turn was spoken; its final sub-queries reuse them."""
-    c = D.clauses(_segmented(spark, sf))
-    q = D.subqueries(c).filter(F.col("n") <= S.max_subqueries).select(
+    q = D.subqueries(_clauses(spark, sf)).filter(F.col("n") <= S.max_subqueries).select(
         "turn_key", "n", L.query_key("text").alias("query_key"),
         F.expr("filter(keywords, k -> k RLIKE '^[0-9]+$')").alias("hard"),
         embed_tokens("keywords", S.embed_dim).alias("vec"))
+    q = stage(q, "finals")
     first = q.select("turn_key", F.col("n").alias("m"), "query_key", "hard", "vec")
     r = L.reuse(q, first, "turn_key", S.reuse_cosine)
     return r.groupBy("turn_key").agg(F.count("*").alias("finals"), F.count("reused").alias("reused"),

@@ -177,3 +177,24 @@ ORACLE["gate_verdicts"] = EV + " " + " UNION ALL ".join(
     f"""SELECT event AS config, '{g}' AS gate, {t}::DOUBLE AS target, {pct(c)} AS value,
     CASE WHEN {pct(c)} >= {t} {"AND count(*) FILTER (value > 200) = 0" if g == 'G4' else ''} THEN 'pass' ELSE 'fail' END AS verdict
     FROM e GROUP BY event""" for g, (c, t) in _GV.items())
+
+# ------------------------------------------------------------------ answers
+AN = """WITH l AS (SELECT conv_id, turn, role, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+      lambda x: x <> '') AS lines FROM conversations),
+a AS (SELECT *, list_transform(lines, lambda x, i: x || ' [Doc_' || conv_id || ' §' || i || ']') AS f,
+      CASE WHEN turn % 2 = 1 THEN 'Not verified: ' || role || ' note.' ELSE '' END AS note,
+      greatest(1, least(coalesce(nullif(turn % 7, 0), 3), 6)) AS n FROM l)"""
+ORACLE["presentation_bullets"] = AN + """
+SELECT conv_id, turn, md5(CASE role
+  WHEN 'assistant' THEN CASE WHEN len(f) = 0 THEN text WHEN len(f) >= n THEN array_to_string(list_transform(range(0, n), lambda k:
+      '- ' || array_to_string(list_filter(f, lambda x, i: (i - 1) % n = k), ' ')), chr(10))
+    ELSE array_to_string(list_transform(f, lambda x: '- ' || x), chr(10)) END
+  WHEN 'user' THEN coalesce(nullif(array_to_string(f, ' '), ''), text) ELSE text END
+  || CASE WHEN role <> 'system' AND note <> '' THEN chr(10) || note ELSE '' END) AS text_md5 FROM a"""
+ORACLE["render_answer"] = AN + """,
+b AS (SELECT *, list_transform(f, lambda x, i: CASE WHEN i = 3 THEN 'Intent 3: I could not find this in the knowledge base (no figure).'
+      WHEN len(f) > 1 OR turn > 0 THEN 'Intent ' || i || ': ' || x ELSE x END) AS lines_out,
+      list_transform(f, lambda x, i: 'Still applies - Intent ' || i || ': ' || x) AS still FROM a)
+SELECT conv_id, turn, md5(array_to_string(list_concat(
+   CASE WHEN turn > 0 AND len(f) > 0 THEN list_concat(still[1:len(f) - 1], ['Update (' || role || '):', lines_out[len(f)]]) ELSE lines_out END,
+   CASE WHEN note <> '' THEN [note] ELSE [] END), chr(10))) AS text_md5 FROM b"""

@@ -1,5 +1,5 @@
 """All registered queries and their DuckDB checks."""
-from . import catalog_dialogue, catalog_metrics, oracle_turns  # noqa: F401  (they register on import)
+from . import catalog_answers, catalog_dialogue, catalog_metrics, oracle_turns  # noqa: F401  (they register on import)
 from .catalog import QUERIES
 from .oracle import ORACLE
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -50,6 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it back.
+
+    Used where a later step reads a costly one several times; a lost executor re-reads the table.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers (what ``--py-files`` does for a submitted job)."""
     app = spark.sparkContext.applicationId
