@@ -186,6 +186,10 @@ ORACLE["corpus_validation"] = w(WINDOWS, r"""SELECT doc_id, 'sections not sequen
     SELECT doc_id, 'non-ASCII characters' FROM win GROUP BY doc_id
     HAVING max(regexp_matches(replace(text, '§', ''), '[^\x00-\x7F]')::INT) = 1""")
 
+ORACLE["corpus_fingerprint"] = """SELECT substr(sha256(p0 || '/' || p1 || '/' || n), 1, 16) AS fingerprint, n AS n_files FROM (
+    SELECT bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS p0, bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS p1, count(*) AS n
+    FROM (SELECT sha256('doc_' || doc_id || text) AS h FROM documents))"""
+
 # ------------------------------------------------------------------ text functions
 for name, f in (("raw_tokens", raw), ("content_tokens", content)):
     ORACLE[name] = f"""SELECT doc_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
