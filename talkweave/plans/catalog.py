@@ -14,7 +14,7 @@ from ..session import ship
 from ..sources import corpus as C
 from . import inputs as I
 from . import retrieval as R
-from .layout import blocked_position, read_table
+from .layout import blocked_position, broadcast_if_small, byte_size, read_table
 
 S = I.SETTINGS
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,7 +190,8 @@ def _main_terms(spark, sf, ix):
     """Distinct query terms of the benchmark passages with their idf."""
     q = read_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qkey"), F.explode(F.array_distinct(T.content_tokens("text"))).alias("term"))
-    return ix.terms.select("term", "idf").filter(F.col("idf").isNotNull()).join(F.broadcast(q), "term")
+    size = byte_size(read_table(spark, sf, "benchmark"), "text")
+    return ix.terms.select("term", "idf").filter(F.col("idf").isNotNull()).join(broadcast_if_small(q, size), "term")
 
 
 @query
@@ -301,7 +302,7 @@ def fuse_across_queries(spark, sf):
     ix, b, h = _hits(spark, sf)
     group = read_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"), F.concat(F.lit("len"), F.floor(F.length("text") / 50)).alias("turn_key"))
-    hits = R.per_owner(h, b).join(F.broadcast(group), "qid").withColumnRenamed("qid", "qkey")
+    hits = R.per_owner(h, b).join(group, "qid").withColumnRenamed("qid", "qkey")
     return fusion.across_queries(hits, "turn_key", S.rrf_k, S.evidence_per_query).drop("owner")
 
 

@@ -8,6 +8,7 @@ from ..functions import cues as Q
 from ..functions import text as T
 from ..operators import dialogue as D
 from ..operators import gate as G
+from ..operators import speculation as X
 from ..operators import timeline as L
 from ..operators.dense import embed_tokens
 from ..session import stage
@@ -195,3 +196,11 @@ def speculative_reuse(spark, sf):
     r = L.reuse(q, first, "turn_key", S.reuse_cosine)
     return r.groupBy("turn_key").agg(F.count("*").alias("finals"), F.count("reused").alias("reused"),
                                      F.count_if(F.col("reused") < F.col("n")).alias("from_earlier"))
+
+
+@query
+def speculative_dispatches(spark, sf):
+    """User turns as timed speech: when the first search could start, against the end of speech."""
+    t = _turns(spark, sf).filter("role = 'user'").withColumn("parts", L.timed_parts("text", "turn_key"))
+    t = stage(t.select("turn_key", "parts", L.end_of("parts").alias("t_end")), "speech")
+    return X.early_turns(t, X.dispatches(t, I.index(spark, sf).terms))

@@ -10,7 +10,7 @@ from ..operators import timeline as L
 from . import inputs as I
 from . import retrieval as R
 from .catalog import S, query
-from .layout import blocked_position, read_table, spread
+from .layout import blocked_position, broadcast_if_small, byte_size, read_table, spread
 
 # the event log stands in for a trace: a user's day is a turn
 KINDS = {"signup": "turn_started", "view": "chunk_received", "click": "controller_decision",
@@ -151,7 +151,8 @@ def _gold(spark, sf):
 
 def _gold_labels(spark, sf, ix):
     s = ix.sentences.select("chunk_id", F.md5("sentence").alias("unit_key"))
-    g = s.join(F.broadcast(_gold(spark, sf)), "unit_key")            # the benchmark is small and measured by _block
+    size = byte_size(read_table(spark, sf, "benchmark"), "text")
+    g = s.join(broadcast_if_small(_gold(spark, sf), size), "unit_key")
     return g.select("turn_key", "intent", F.col("chunk_id").alias("label")).distinct()
 
 
@@ -184,7 +185,9 @@ def key_fact_recall(spark, sf):
     """Sentence units of the passages looked up in the text of the best chunk."""
     ix = I.index(spark, sf)
     best = _evidence(spark, sf, ix).filter("rank = 1")
-    answers = ix.chunks.select(F.col("chunk_id").alias("label"), "text").join(F.broadcast(best), "label").select("turn_key", "text")
+    size = byte_size(read_table(spark, sf, "benchmark"), "text")
+    answers = ix.chunks.select(F.col("chunk_id").alias("label"), "text").join(broadcast_if_small(best, size), "label").select(
+        "turn_key", "text")
     facts = _gold(spark, sf).select("turn_key", F.col("unit").alias("fact"))
     return M.key_fact_recall(answers, facts).groupBy("turn_key").agg(
         F.count("*").alias("facts"), F.count_if("found").alias("found"))

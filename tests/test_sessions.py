@@ -102,3 +102,14 @@ def test_corpus_directory(spark, fixture_index):
         C.reject_duplicate_ids(twice)
     errors = [tuple(r) for r in C.validation_errors(fixture_index.chunks.filter(F.col("doc_id") == "Doc_01")).collect()]
     assert errors == []
+
+
+def test_searches_start_before_the_turn_ends(sessions, fixture_index):
+    from talkweave.operators import speculation as X
+    t = sessions.select(F.concat_ws("/", "session_id", "turn_id").alias("turn_key"), "parts", F.col("end_t").alias("t_end"))
+    d = X.dispatches(t, fixture_index.terms).cache()
+    got = {r["turn_key"]: r for r in X.early_turns(t, d).collect()}
+    assert got["workshop/t1"]["early"] and got["workshop/t1"]["lead_ms"] > 1000
+    keys = {r["query_key"] for r in d.filter("turn_key = 'workshop/t1'").collect()}
+    assert any("cancellation" in k.split() and "policy" in k.split() for k in keys)
+    assert got["travel/t2"]["searches"] == 0
