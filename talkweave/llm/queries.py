@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, linededup, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,31 @@ def op1_decontamination(spark, sf):
 @query
 def op6_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_line_dedup(spark, sf):
+    """Per document: lines, deleted lines, and length and digest of what is left."""
+    cut = linededup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"),
+                      F.length("row.text").cast("long").alias("n_chars_left"), F.sha2("row.text", 256).alias("text_sha256"))
+
+
+ORACLE["op7_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+w AS (SELECT *, greatest(1, len(regexp_extract_all(line, '[^ 	]+'))) AS w FROM l),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w),
+f AS (SELECT a.doc_id, a.i AS p, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49
+      WHERE b.c - a.c + a.w >= 50 GROUP BY ALL
+      UNION
+      SELECT b.doc_id, max(a.i) AS p, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49
+      WHERE b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.i),
+t AS (SELECT f.doc_id, p, e, string_agg(line, chr(10) ORDER BY i) AS run FROM f JOIN l ON l.doc_id = f.doc_id AND l.i BETWEEN p AND e GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS n FROM t),
+d AS (SELECT DISTINCT g.doc_id, l.i FROM g JOIN l ON l.doc_id = g.doc_id AND l.i BETWEEN p AND e WHERE n > 1),
+s AS (SELECT l.doc_id, count(*) AS n_lines, count(d.i) AS n_deleted,
+        coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (d.i IS NULL), '') AS t
+      FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.i = l.i GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_deleted, length(t) AS n_chars_left, sha256(t) AS text_sha256 FROM s
+"""
