@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, simhash
+from . import decontaminate, linededup, quality, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,8 @@ def op7_line_dedup(spark, sf):
 ORACLE["op7_line_dedup"] = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-w AS (SELECT *, greatest(1, len(regexp_extract_all(line, '[^ 	]+'))) AS w FROM l),
+w AS (SELECT *, greatest(1, len(regexp_extract_all(line, '[^ 	
+]+'))) AS w FROM l),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w),
 f AS (SELECT a.doc_id, a.i AS p, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49
       WHERE b.c - a.c + a.w >= 50 GROUP BY ALL
@@ -54,3 +55,8 @@ s AS (SELECT l.doc_id, count(*) AS n_lines, count(d.i) AS n_deleted,
       FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_deleted, length(t) AS n_chars_left, sha256(t) AS text_sha256 FROM s
 """
+
+
+@query
+def op9_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
