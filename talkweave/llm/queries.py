@@ -6,9 +6,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, simhash
+from . import decontaminate, linededup, quality, sentencepiece, simhash
 from .common import table
 
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def tokenizer(name: str) -> str:
+    """Where the named public vocabulary file lies."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -60,3 +69,12 @@ SELECT doc_id, n_lines, n_deleted, length(t) AS n_chars_left, sha256(t) AS text_
 @query
 def op9_quality(spark, sf):
     return quality.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+
+
+@query
+def op2_sentencepiece(spark, sf):
+    """Per document: how many ids, a digest of them and of the text that they decode to."""
+    path = tokenizer(PIECE_MODEL)
+    ids = sentencepiece.encode(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxh64"),
+                      F.sha2(sentencepiece.decoded(F.col("ids"), path), 256).alias("text_sha256"))
