@@ -6,10 +6,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, sentencepiece, simhash
+from . import decontaminate, linededup, quality, sentencepiece, simhash, tokenfile
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def tokenizer(name: str) -> str:
@@ -78,3 +79,9 @@ def op2_sentencepiece(spark, sf):
     ids = sentencepiece.encode(table(spark, sf, "documents").select("doc_id", "text"), path)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxh64"),
                       F.sha2(sentencepiece.decoded(F.col("ids"), path), 256).alias("text_sha256"))
+
+
+@query
+def op5_token_file(spark, sf):
+    path = tokenfile.write(table(spark, sf, "documents").select("doc_id", "text"), tokenizer(BYTE_BPE))
+    return tokenfile.digest(tokenfile.read(spark, path))
