@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, sentencepiece, simhash, tokenfile
+from . import decontaminate, linededup, lm, quality, sentencepiece, simhash, tokenfile
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -85,3 +85,8 @@ def op2_sentencepiece(spark, sf):
 def op5_token_file(spark, sf):
     path = tokenfile.write(table(spark, sf, "documents").select("doc_id", "text"), tokenizer(BYTE_BPE))
     return tokenfile.digest(tokenfile.read(spark, path))
+
+
+@query
+def op4_lm_scores(spark, sf):
+    return lm.score(table(spark, sf, "documents").select("doc_id", "text"))
