@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, lm, quality, sentencepiece, simhash, tokenfile
-from .common import table
+from . import chat, decontaminate, linededup, lm, quality, sentencepiece, simhash, tokenfile, vectors
+from .common import stage, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -90,3 +90,20 @@ def op5_token_file(spark, sf):
 @query
 def op4_lm_scores(spark, sf):
     return lm.score(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+@query
+def op8_chat_format(spark, sf):
+    """All conversations and one that holds template marks, formatted, written and read back."""
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    parts = stage(chat.render(chat.fold(chat.log_of(given.unionByName(odd)))), "chat")
+    return chat.read_back(parts)
+
+
+@query
+def op10_vector_dedup(spark, sf):
+    return vectors.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
