@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, lm, quality, sentencepiece, simhash, tokenfile, vectors
+from . import chat, decontaminate, linededup, lm, pii, quality, sentencepiece, simhash, tokenfile, vectors
 from .common import stage, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -107,3 +107,12 @@ def op8_chat_format(spark, sf):
 @query
 def op10_vector_dedup(spark, sf):
     return vectors.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+SURROGATE_KEY = b"change this key for your corpus"
+
+
+@query
+def op3_surrogates(spark, sf):
+    """Every document with surrogates for its personal data."""
+    new = pii.replace(table(spark, sf, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return new.select("row.doc_id", F.size("spans").cast("long").alias("n_entities"), "row.text")
