@@ -346,11 +346,12 @@ def query_cache(spark, sf):
 
 # ------------------------------------------------------------------ grounding
 def _claims(ix):
-    """The first unit of every chunk as a claim that cites its own section and the next one."""
+    """Every unit of every chunk as a claim that cites its own section and the next one."""
     nxt = (F.col("section").cast("int") + 1).cast("string")
-    return ix.chunks.filter(F.size("sentences") > 0).select(
-        F.col("chunk_id").alias("claim_id"), F.col("doc_id").alias("answer_id"),
-        F.concat(F.get("sentences", F.lit(0)), F.lit(" ["), F.col("label"), F.lit(", "), "doc_id", F.lit(" §"), nxt,
+    units = ix.chunks.select("chunk_id", "doc_id", "label", "section", F.posexplode("sentences").alias("n", "unit"))
+    return units.select(
+        F.concat_ws("#", "chunk_id", (F.col("n") + 1).cast("string")).alias("claim_id"), F.col("doc_id").alias("answer_id"),
+        F.concat("unit", F.lit(" ["), F.col("label"), F.lit(", "), "doc_id", F.lit(" §"), nxt,
                  F.lit("]")).alias("text"), F.lit(None).cast("array<string>").alias("citations"))
 
 
@@ -381,7 +382,7 @@ def support_rates(spark, sf):
 
 @query
 def support_other_source(spark, sf):
-    """Support of every chunk's first unit by the following section alone (mostly unsupported)."""
+    """Support of every unit by the following section alone (mostly unsupported)."""
     ix = I.index(spark, sf)
     c = _claims(ix).withColumn("citations", F.array(F.element_at(grounding.extract_citations("text"), 2)))
     return grounding.verify(c, ix.chunks, None, S.support_threshold).select(

@@ -15,6 +15,7 @@ from ..session import stage
 from . import inputs as I
 from .catalog import S, query
 from .layout import blocked_position
+from .replay import cap_queries
 
 
 def _turns(spark, sf):
@@ -186,13 +187,13 @@ def dispatch_dedup(spark, sf):
 
 @query
 def speculative_reuse(spark, sf):
-    """Complete clauses were searched while the turn was spoken; its final sub-queries reuse them."""
-    q = D.subqueries(_clauses(spark, sf)).filter(F.col("n") <= S.max_subqueries).select(
-        "turn_key", "n", L.query_key("text").alias("query_key"),
-        F.expr("filter(keywords, k -> k RLIKE '^[0-9]+$')").alias("hard"),
-        embed_tokens("keywords", S.embed_dim).alias("vec"))
-    q = stage(q, "finals")
-    first = q.select("turn_key", F.col("n").alias("m"), "query_key", "hard", "vec")
+    """Every complete clause was searched while the turn was spoken; the turn's final queries, near-copies merged and the
+    surplus joined to its nearest, reuse those searches or miss them."""
+    spoken = stage(D.subqueries(_clauses(spark, sf)), "spoken")
+    shape = lambda q: q.select("turn_key", "n", L.query_key("text").alias("query_key"),
+                               F.expr("filter(keywords, k -> k RLIKE '^[0-9]+$')").alias("hard"), embed_tokens("keywords", S.embed_dim).alias("vec"))
+    q = stage(shape(cap_queries(spoken, "turn_key", S.max_subqueries, S.embed_dim).filter("n IS NOT NULL")), "finals")
+    first = shape(spoken).withColumnRenamed("n", "m")
     r = L.reuse(q, first, "turn_key", S.reuse_cosine)
     return r.groupBy("turn_key").agg(F.count("*").alias("finals"), F.count("reused").alias("reused"),
                                      F.count_if(F.col("reused") < F.col("n")).alias("from_earlier"))

@@ -36,9 +36,7 @@ def trace_coverage(spark, sf):
 def trace_coverage_rate(spark, sf):
     """Coverage of the same log when a session is the unit."""
     e = _events(spark, sf).withColumn("has_cost", F.col("value") > 5)
-    c = E.trace_coverage(e, KINDS, by=("session_id",))
-    ignored = F.array(*[F.lit(x) for x in ("answer_version", "grounding_check", "retrieval_completed")])
-    return E.coverage_rate(c.withColumn("missing", F.array_except("missing", ignored)))
+    return E.coverage_rate(E.trace_coverage(e, KINDS, by=("session_id",)))
 
 
 @query

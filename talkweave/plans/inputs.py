@@ -43,7 +43,7 @@ def tokenised(spark: SparkSession, sf: str) -> DataFrame:
 def index(spark: SparkSession, sf: str) -> store.Index:
     """The stored index of the document table, built when this corpus has none yet."""
     ship(spark)
-    fp = store.source_fingerprint(read_table(spark, sf, "documents"), SETTINGS)
+    fp = "-".join(store.source_fingerprint(read_table(spark, sf, t), SETTINGS) for t in ("documents", "labels"))   # labels decide the status
     return store.load_or_build(spark, chunks(spark, sf), fp, shared_dir(spark), SETTINGS)
 
 

@@ -328,8 +328,9 @@ ORACLE["query_cache"] = rf"""SELECT 2 * count(*) AS asked,
 
 # ------------------------------------------------------------------ grounding
 CLAIMS = TOKENS + f""",
-cl AS MATERIALIZED (SELECT chunk_id AS claim_id, doc_id, section, u[1] AS body, list_distinct({content('u[1]')}) AS ctk,
-    {numbers('u[1]')} AS cn FROM (SELECT *, {first_units('text')} AS u FROM tok) WHERE len(u) > 0),
+cl AS MATERIALIZED (SELECT chunk_id || '#' || i AS claim_id, doc_id, section, body, list_distinct({content('body')}) AS ctk,
+    {numbers('body')} AS cn FROM (SELECT chunk_id, doc_id, section, i, u[i] AS body
+      FROM (SELECT *, {first_units('text')} AS u FROM tok), unnest(range(1, len(u) + 1)) AS x(i))),
 src AS (SELECT doc_id, section, tk, {numbers("doc_id || '. Part ' || section || '. ' || text")} AS sn FROM tok)"""
 ORACLE["extract_citations"] = w(CLAIMS, """SELECT claim_id, doc_id || ' §' || section || '|' || doc_id || ' §' ||
     (section + 1) AS labels, md5(trim(body)) AS body_md5 FROM cl""")

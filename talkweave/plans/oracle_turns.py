@@ -67,8 +67,9 @@ ORACLE["trace_coverage"] = f"""{EV} SELECT session_id, turn_id, count(*) AS even
       lambda x: x IS NOT NULL), '|') AS missing FROM e GROUP BY ALL"""
 ORACLE["trace_coverage_rate"] = f"""{EV} SELECT count(*) AS turns, count(*) FILTER (ok) AS complete,
     round(count(*) FILTER (ok)::DOUBLE / count(*), 6) AS coverage FROM (SELECT session_id,
-    count(DISTINCT event) FILTER (event <> 'error') = 4 AND bool_or(event = 'purchase' AND value > 5) AS ok
-    FROM e GROUP BY session_id)"""
+    len(list_filter([{_M}, CASE WHEN bool_or(event = 'error') THEN 'retrieval_completed' END,
+      CASE WHEN NOT bool_or(event = 'purchase' AND value > 5) THEN 'turn_completed.cost/latency' END],
+      lambda x: x IS NOT NULL)) = 0 AS ok FROM e GROUP BY session_id)"""
 ORACLE["event_schema_check"] = f"""{EV} SELECT CASE event WHEN 'error' THEN 'oops' WHEN 'view' THEN 'chunk_received'
       WHEN 'click' THEN 'controller_decision' WHEN 'purchase' THEN 'turn_completed' END AS event, count(*) AS rows,
     (count(*) * CASE event WHEN 'error' THEN 1 WHEN 'view' THEN 1 WHEN 'click' THEN 4 WHEN 'purchase' THEN 5 END)::BIGINT AS problems,

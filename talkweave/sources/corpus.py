@@ -89,11 +89,11 @@ def markdown_chunks(docs: DataFrame, window_words: int = 180) -> DataFrame:
 def read_directory(spark: SparkSession, path: str, window_words: int = 180) -> DataFrame:
     """Recursive scan by suffix: markdown/txt, jsonl and (where pypdf is present) pdf."""
     whole = (spark.read.option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.{md,markdown,txt}").text(path, wholetext=True)
+             .option("pathGlobFilter", "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN],[tT][xX][tT]}").text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     md = markdown_chunks(whole.filter(~name.startswith(".") & (F.lower(name) != "readme.md")), window_words)
-    js = jsonl_chunks(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+    js = jsonl_chunks(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
                       .text(path).select(F.col("_metadata.file_path").alias("path"),
                                          F.col("_metadata.file_block_start").alias("block"),
                                          F.monotonically_increasing_id().alias("line"), F.col("value").alias("raw")))
@@ -109,12 +109,15 @@ def jsonl_chunks(lines: DataFrame) -> DataFrame:
     """``lines(path, block, line, raw)`` -> chunk table; a record without section takes its number in the document.
 
     A document's records are numbered by file order: per scanned partition first, then shifted by the
-    totals of the partitions before, so one document may span many tasks.
+    totals of the partitions before, so one document may span many tasks.  A line that is not a JSON object
+    with a ``doc_id`` or ``id`` fails the job.  An empty ``doc_id`` or ``section`` counts as absent.
     """
     rec = lines.filter(F.trim("raw") != "").select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "path", "line",
         F.from_json("raw", JSONL_SCHEMA).alias("r")).select("source", "path", "line", "r.*")
-    rec = rec.withColumn("doc_id", F.coalesce("doc_id", "id")).drop("id")
+    present = lambda c: F.nullif(F.col(c), F.lit(""))
+    rec = rec.withColumn("doc_id", F.coalesce(present("doc_id"), present("id"), F.raise_error(
+        F.concat(F.lit("no JSON record with doc_id or id: line of "), "path")))).drop("id").withColumn("section", present("section"))
     # the upper bits of a monotonically increasing id are the scan partition
     rec = rec.withColumn("part", F.shiftright("line", 33))
     w = Window.partitionBy("path", "doc_id", "part").orderBy("line")
@@ -133,7 +136,7 @@ def jsonl_chunks(lines: DataFrame) -> DataFrame:
 def pdf_chunks(spark: SparkSession, path: str, window_words: int = 180) -> DataFrame:
     """One or more windows per page.  Page text comes from pypdf, which is optional."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.pdf").load(path).select("path", "content"))
+             .option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content"))
 
     def pages(batches):
         for pdf in batches:

@@ -38,7 +38,8 @@ class TurnProcessor:
     """``foreachBatch`` sink: answers the turns that ended in a micro-batch.
 
     The state written by batch n is read by batch n + 1 and carries its number, so a batch that is
-    retried after a failure starts from the same state and overwrites its own output.
+    retried after a failure starts from the same state and overwrites its own output.  A turn is answered
+    once: turns answered by earlier batches are left out when a late or repeated chunk brings them back.
     """
 
     def __init__(self, index: Index, root: str, settings: Settings | None = None):
@@ -52,9 +53,19 @@ class TurnProcessor:
                 continue
         return empty_state(spark)
 
+    def _answered(self, spark: SparkSession, batch: int) -> DataFrame | None:
+        """(session_id, turn) of the turns that earlier batches answered."""
+        try:
+            return spark.read.schema("session_id string, turn int, batch int").parquet(f"{self.root}/answered").filter(F.col("batch") < batch)
+        except AnalysisException:
+            return None
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = batch.filter("complete AND text <> ''")
+        before = self._answered(spark, batch_id)
+        if before is not None:
+            done = done.join(before.select("session_id", "turn").distinct(), ["session_id", "turn"], "left_anti")
         order = Window.partitionBy("session_id").orderBy("turn")
         work = f"{self.root}/work/{batch_id}"
         done.withColumn("ordinal", F.row_number().over(order)).write.mode("overwrite").parquet(f"{work}/turns")
@@ -71,6 +82,7 @@ class TurnProcessor:
             target = f"{self.root}/state/{batch_id}" if k == rounds else f"{work}/{k}/all-state"
             fresh.unionByName(rest).write.mode("overwrite").parquet(target)
             state = spark.read.parquet(target)
+        turns.select("session_id", "turn").write.mode("overwrite").parquet(f"{self.root}/answered/batch={batch_id}")
 
 
 def answer_stream(chunks: DataFrame, index: Index, root: str, settings: Settings | None = None, **trigger):

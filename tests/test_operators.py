@@ -162,3 +162,11 @@ def test_threshold_sweep(spark):
     got = {r["threshold"]: r["correct"] for r in metrics.threshold_sweep(df).collect()}
     assert got == {t / 2: sum(p == (x >= t / 2) for x, p in s) for t in range(-12, 12)}
     assert T is not None and F is not None
+
+
+def test_session_events_are_not_a_turn(spark):
+    rows = [("s", None, "session_started", 0.0, 0.0, False)] + [
+        ("s", "t1", e, 1.0, 1.0, e == "turn_completed") for e in (*telemetry.V.REQUIRED_EVENTS, *telemetry.V.RETRIEVAL_EVENTS)]
+    df = spark.createDataFrame(rows, "session_id string, turn_id string, event string, t_stream double, t_wall double, has_cost boolean")
+    r = telemetry.coverage_rate(telemetry.trace_coverage(df)).first()
+    assert (r["turns"], r["complete"], r["coverage"]) == (1, 1, 1.0)

@@ -113,3 +113,31 @@ def test_searches_start_before_the_turn_ends(sessions, fixture_index):
     keys = {r["query_key"] for r in d.filter("turn_key = 'workshop/t1'").collect()}
     assert any("cancellation" in k.split() and "policy" in k.split() for k in keys)
     assert got["travel/t2"]["searches"] == 0
+
+
+def test_late_and_repeated_chunks_answer_once(spark, fixture_index):
+    """A chunk that comes a batch after the end of its turn, or twice, brings the turn back: it stays answered once."""
+    from talkweave.streaming.sessions import TurnProcessor
+    root = tempfile.mkdtemp(prefix="run-")
+    ddl = "session_id string, turn int, text string, complete boolean"
+    ask = "Can you summarize the travel reimbursement rule for an employee trip?"
+    go = TurnProcessor(fixture_index, root)
+    go(spark.createDataFrame([("s", 1, ask, True)], ddl), 0)
+    go(spark.createDataFrame([("s", 1, ask + " please", True), ("t", 1, "thanks, that's helpful", False)], ddl), 1)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/records").collect()
+    assert [(r["session_id"], r["turn_id"], r["version"]) for r in rows] == [("s", "1", 1)]
+    go(spark.createDataFrame([("s", 1, ask, True)], ddl), 0)              # the first batch once more, after a failure
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{root}/records").count() == 1
+
+
+def test_suffixes_in_any_case_and_bad_lines(spark):
+    d = tempfile.mkdtemp(prefix="run-")
+    with open(f"{d}/Doc_09_upper.MD", "w") as f:
+        f.write("---\ndoc_id: Doc_09\ntitle: \"Upper\"\nstatus: current\n---\n\n# Upper\n\n## §1 One\nThe hall seats 40 people.\n")
+    with open(f"{d}/more.JSONL", "w") as f:
+        f.write(json.dumps({"doc_id": "", "id": "J1", "section": "", "text": "First record here."}) + "\n" + json.dumps({"id": "J1", "text": "Second record here."}) + "\n")
+    got = {r["chunk_id"] for r in C.read_directory(spark, d).collect()}
+    assert {"J1§1", "J1§2"} <= got and any(c.startswith("Doc_09") for c in got)
+    lines = spark.createDataFrame([("x/a.jsonl", 0, 0, "{not json"), ("x/a.jsonl", 0, 1, '{"id": "a", "text": "t"}')], "path string, block long, line long, raw string")
+    with pytest.raises(Exception, match="no JSON record"):
+        C.jsonl_chunks(lines).collect()
