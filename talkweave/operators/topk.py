@@ -5,6 +5,7 @@ at most queries x k rows however large the corpus is.  A window then picks the k
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..plans.layout import top_per_key
 
 QUERY_SLICE = 512
+MIDDLE_LEVEL = 256       # tasks above which their lists are merged in two steps
 # batch -> (ids, function of a query slice -> scores[slice, rows])
 BatchScorer = Callable[[pa.RecordBatch], tuple[np.ndarray, Callable[[slice], np.ndarray]]]
 
@@ -84,4 +86,9 @@ def scan_topk(corpus: DataFrame, shared, make_scorer: Callable[[object], tuple[n
 
     qkey, ckey = schema.names[0], schema.names[1]
     local = corpus.mapInArrow(scan, ddl)
-    return top_per_key(local, qkey, [F.desc("score"), F.asc(ckey)], k)
+    order = [F.desc("score"), F.asc(ckey)]
+    tasks = corpus.rdd.getNumPartitions()
+    if tasks > MIDDLE_LEVEL:                     # many tasks: their lists meet in groups first, so no window sees them all
+        groups = math.isqrt(tasks)
+        local = top_per_key(local.withColumn("_group", F.pmod(F.xxhash64(ckey), F.lit(groups))), [qkey, "_group"], order, k).drop("_group", "rank")
+    return top_per_key(local, qkey, order, k)

@@ -170,3 +170,23 @@ def test_session_events_are_not_a_turn(spark):
     df = spark.createDataFrame(rows, "session_id string, turn_id string, event string, t_stream double, t_wall double, has_cost boolean")
     r = telemetry.coverage_rate(telemetry.trace_coverage(df)).first()
     assert (r["turns"], r["complete"], r["coverage"]) == (1, 1, 1.0)
+
+
+def test_percentiles_in_two_passes_are_exact(spark):
+    rng = random.Random(4)
+    values = {"a": [rng.gauss(0, 1) for _ in range(501)], "b": [3.0] * 40 + [1e9], "c": [2.5]}
+    df = spark.createDataFrame([(g, x) for g, v in values.items() for x in v] + [("a", None)], "g string, v double")
+    want = {g: (len(v), *(sorted(v)[round(q * (len(v) - 1))] for q in (0.0, 0.5, 0.95, 1.0))) for g, v in values.items()}
+    for bins in (1024, 3):
+        got = telemetry.nearest_rank(df, ["g"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}, bins).collect()
+        assert {r["g"]: tuple(r)[1:] for r in got} == want
+
+
+def test_topk_in_two_levels_is_the_same(spark, monkeypatch):
+    from talkweave.operators import topk
+    rng = np.random.default_rng(9)
+    c = spark.createDataFrame([(f"c{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(120, 6)))], "chunk_id string, vec array<float>").repartition(9)
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(4, 6)))], "qkey string, vec array<float>")
+    one = sorted(map(tuple, dense_topk(q, c, 7).collect()))
+    monkeypatch.setattr(topk, "MIDDLE_LEVEL", 2)
+    assert sorted(map(tuple, dense_topk(q, c, 7).collect())) == one
