@@ -96,7 +96,7 @@ def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = stage(w.join(levels.select("rid", "k", F.col("i").alias("p"), F.col("rank").alias("a")), ["rid", "k", "p"])
                   .join(levels.select("rid", "k", F.col("i").alias("q"), F.col("rank").alias("b")), ["rid", "k", "q"])
                   .select("m", "a", "b", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "p").alias("place")), "windows")
-    first = named.groupBy("m", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = stage(named.groupBy("m", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     return named.join(first, ["m", "a", "b"]).filter("place > first").select("place.rid", "place.p", "m")
 
 
