@@ -106,7 +106,7 @@ def _compare(threshold: float, sigmas: float):
         cid, copies = rows.column("cid").to_numpy(), rows.column("copies").to_numpy()
         v = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(-1, dim)
         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        keys = np.array(rows.column("keys").to_pylist(), np.int64)[:, :t]
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)[:, :t]
         same = (side == 2).all()                                              # a tile with itself
         left, right = (np.arange(len(cid)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         turned, x, f = codes(unit)
