@@ -18,13 +18,14 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from .common import pack, partitions, unpack
 
-BLOCK_UNITS = 4_000_000
+BLOCK_UNITS = 1_500_000
+BUCKETS = 4                # for each shuffle partition: small groups need little memory
 SHARD = 512
 BLOCKS = ("block long, ids array<long>, flags array<boolean>, n array<int>, codes binary, place binary, "
           "packs array<struct<bucket:int,units:binary>>")
@@ -61,7 +62,7 @@ def scatter(place: np.ndarray, answers: dict[int, np.ndarray], kind) -> np.ndarr
 
 
 def _row(block: int, seen: dict, codes: list, ids: list, flags: list, n: list, buckets: int) -> pa.RecordBatch:
-    units = list(seen)
+    units = [u.encode("utf-8", "surrogatepass") if isinstance(u, str) else u for u in seen]
     place = np.fromiter((xxhash.xxh64_intdigest(u) % buckets for u in units), np.uint16 if buckets <= 1 << 16 else np.uint32, len(units))
     packs = [{"bucket": b, "units": pack_units([units[i] for i in at])} for b, at in by_bucket(place)]
     return pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "flags": flags, "n": n, "codes": pack(np.concatenate(codes)), "place": pack(place),
@@ -86,18 +87,23 @@ def _cut(split: Callable, buckets: int, most: int):
                     seen, codes, ids, flags, n = {}, [], [], [], []
         if ids:
             yield _row(block, seen, codes, ids, flags, n, buckets)
+        pa.default_memory_pool().release_unused()        # the worker waits for other stages
     return run
 
 
-def write(docs: DataFrame, split: Callable[[str], list[bytes]], most: int = BLOCK_UNITS) -> DataFrame:
+def write(docs: DataFrame, split: Callable[[str], list], most: int = BLOCK_UNITS) -> DataFrame:
     """The blocks of ``docs(doc_id, flag, text)`` as a table bucketed by block, kept in the folder that all executors share."""
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex[:12]}"
-    (docs.select(F.col("doc_id").cast("long"), "flag", "text").mapInArrow(_cut(split, partitions(spark), most), BLOCKS)
+    (docs.select(F.col("doc_id").cast("long"), "flag", "text").mapInArrow(_cut(split, buckets(spark), most), BLOCKS)
      .write.option("compression", "zstd").bucketBy(partitions(spark), "block").saveAsTable(name, path=f"{shared_dir(spark)}/stage/{name}"))
     return spark.table(name)
 
 
+def buckets(spark: SparkSession) -> int:
+    return BUCKETS * partitions(spark)
+
+
 def shards(blocks: DataFrame) -> int:
     return max(1, -(-blocks.count() // SHARD))
 

@@ -12,8 +12,19 @@ from ..session import shared_dir, ship
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
+# Texts can be long: batches that go to Python are bounded by rows and by bytes, unless the session says otherwise.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(8 << 20))}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    for name, (usual, small) in BATCHES.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, small)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     ship(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

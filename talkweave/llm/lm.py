@@ -158,7 +158,7 @@ def _score(order: int, buckets: int, n: int, v: int, prior: float):
             sums = np.zeros(len(keys), np.int64)
             for bucket, at in blocks.by_bucket((keys % np.uint64(buckets)).astype(np.int64)):
                 sums[at] = unpack(by[k, bucket])
-            counts.append(np.where(grams.keys[k][1], sums[where], 0).astype(float))
+            counts.append(np.where(grams.keys[k][1], np.append(sums, 0)[where], 0).astype(float))
         total, base = traverse(grams, counts, n, v, prior)
         known = (counts[0] > 0) & grams.token
 

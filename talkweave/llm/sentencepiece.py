@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import blocks
-from .common import pack, partitions, stage, unpack
+from .common import pack, stage, unpack
 
 MASK = 62
 SPACE = "▁"
@@ -49,7 +50,7 @@ class Pieces:
         self.score = [p.score for p in proto.pieces]
         self.bytes = {int(p.piece[3:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
-        self.control = {i for i, p in enumerate(proto.pieces) if p.type in (2, 3)}
+        self.raw = [bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b"" if p.type in (2, 3) else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self.unk = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.longest = max(map(len, self.ids))
         self.lowest = min(self.score[i] for i in self.ids.values())
@@ -75,13 +76,26 @@ class Pieces:
         apart = "".join(re.escape(c) for c in sorted(root) if find(c) != letters and c not in " \n")
         return rf" *[^ \n{apart}]+| *[{apart}]+| +|\n" if apart else r" *[^ \n]+| +|\n"
 
-    def split(self, text: str) -> list[bytes]:
-        return [u.encode("utf-8", "surrogatepass") for u in self.pattern.findall(" " + text.replace(SPACE, " "))] if text else []
+    def split(self, text: str) -> list[str]:
+        return self.pattern.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def single(self, c: str) -> list[int]:
         i = self.ids.get(c)
         return [i] if i is not None else [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unk]
 
+    def cut(self, unit: str, mask: int) -> list[int]:
+        """The ids of the stretches between the boundaries in ``mask`` (bit 0 and the last are set)."""
+        out, s, get = [], 0, self.ids.get
+        for e in range(1, len(unit) + 1):
+            if mask >> e & 1:
+                i = get(unit[s:e])
+                if i is None:
+                    out += self.single(unit[s:e])
+                else:
+                    out.append(i)
+                s = e
+        return out
+
     def encode_unit(self, unit: str) -> list[int]:
         """The helper for units that are too long for the fold."""
         return self._merge(unit) if self.bpe else self._best(unit)
@@ -132,16 +146,9 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self._raw, ids)).decode("utf-8", "replace")
+        raw = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return raw[1:] if raw.startswith(" ") else raw
 
-    @cache
-    def _raw(self, i: int) -> bytes:
-        if i in self.control:
-            return b""
-        b = next((b for b, j in self.bytes.items() if j == i), None)
-        return bytes([b]) if b is not None else self.text[i].replace(SPACE, " ").encode()
-
 
 @cache
 def load(path: str, model_type: int | None = None) -> Pieces:
@@ -149,8 +156,9 @@ def load(path: str, model_type: int | None = None) -> Pieces:
 
 
 def piece_table(spark: SparkSession, p: Pieces) -> DataFrame:
-    """(piece, id, score); its size is the vocabulary's, whatever the corpus."""
-    return spark.createDataFrame([(t, i, float(p.score[i])) for t, i in p.ids.items()], "piece string, id int, score double")
+    """(piece, rank, score): rank 0 is the highest score, equal scores share a rank.  Its size is the vocabulary's, whatever the corpus."""
+    ranks = {x: r for r, x in enumerate(sorted({p.score[i] for i in p.ids.values()}, reverse=True))}
+    return spark.createDataFrame([(t, ranks[p.score[i]], float(p.score[i])) for t, i in p.ids.items()], "piece string, rank long, score double")
 
 
 def _merged(path: str, model_type: int | None):
@@ -168,6 +176,11 @@ def _merged(path: str, model_type: int | None):
     return run
 
 
+# Edges in merge order, each with its two ends and what lies between them as bit masks of boundaries.
+_EDGES = """
+transform(edges, k -> struct(shiftleft(1L, cast(shiftright(k, 6) & 63 as int)) | shiftleft(1L, cast(k & 63 as int)) as ends,
+                             shiftleft(1L, cast(k & 63 as int)) - shiftleft(1L, cast(shiftright(k, 6) & 63 as int) + 1) as inner))
+"""
 _BPE = """
 aggregate(sequence(1, greatest(1, n - 1)), shiftleft(1L, n + 1) - 1L,
   (mask, t) -> mask & ~coalesce(get(filter(multi, x -> (mask & x.ends) = x.ends and bit_count(mask & x.inner) = 1), 0).inner, 0L))
@@ -181,51 +194,53 @@ aggregate(edges, struct(array(0D) as best, array(0) as back),
     case when x.e = size(a.best) then concat(a.back, array(x.s))
          when get(a.best, x.s) + x.score > get(a.best, x.e) then concat(slice(a.back, 1, x.e), array(x.s))
          else a.back end as back),
-  a -> aggregate(sequence(1, n), struct(n as at, 1L as mask),
-         (b, t) -> case when b.at = 0 then b else struct(get(a.back, b.at) as at, b.mask | shiftleft(1L, b.at) as mask) end).mask)
+  a -> aggregate(sequence(1, n), struct(n as at, shiftleft(1L, n) as mask),
+         (b, t) -> case when b.at = 0 then b else struct(get(a.back, b.at) as at, b.mask | shiftleft(1L, get(a.back, b.at)) as mask) end).mask)
 """
 
 
 def lattice(units: DataFrame, pieces: DataFrame, p: Pieces) -> DataFrame:
-    """(shard, bucket, i, ids) for ``units(shard, bucket, i, unit)``; an unknown character is minus its code point."""
-    u = units.select("shard", "bucket", "i", F.translate("unit", " ", SPACE).alias("unit")).withColumn("n", F.length("unit"))
-    sub = (u.withColumn("s", F.explode(F.expr("sequence(0, n - 1)")))
-           .withColumn("len", F.explode(F.expr(f"sequence(1, least({p.longest}, n - s))")))
+    """(shard, bucket, i, mask) for ``units(shard, bucket, i, unit)``: the boundaries of the best segmentation as bits.
+
+    A merging model needs no edges of one character; a unit without longer ones is left out and falls into characters.
+    """
+    least = 2 if p.bpe else 1
+    u = units.select("shard", "bucket", "i", F.translate("unit", " ", SPACE).alias("unit")).withColumn("n", F.length("unit")).filter(F.col("n") >= least)
+    sub = (u.withColumn("s", F.explode(F.expr(f"sequence(0, n - {least})")))
+           .withColumn("len", F.explode(F.expr(f"sequence({least}, least({p.longest}, n - s))")))
            .withColumn("sub", F.expr("substring(unit, s + 1, len)")))
-    edges = sub.join(F.broadcast(pieces), sub["sub"] == pieces["piece"], "left").filter("id is not null or len = 1")
-    code = F.coalesce("id", -F.ascii("sub"))
-    score = F.coalesce("score", F.lit(p.lowest - UNKNOWN_PENALTY))
-    grouped = (edges.select("shard", "bucket", "i", "n", "s", (F.col("s") + F.col("len")).alias("e"), code.alias("id"), score.alias("score"))
-               .groupBy("shard", "bucket", "i").agg(F.max("n").alias("n"), F.collect_list(F.struct("e", "s", "id", "score")).alias("edges"))
-               .withColumn("edges", F.sort_array("edges")))
+    keys, match = ["shard", "bucket", "i"], sub["sub"] == pieces["piece"]
+    e = F.col("s") + F.col("len")
     if p.bpe:
-        grouped = grouped.withColumn("multi", F.expr(
-            "transform(sort_array(transform(filter(edges, x -> x.e - x.s > 1), x -> struct(-x.score as o, x.s as s, x.e as e))), "
-            "x -> struct(shiftleft(1L, x.s) | shiftleft(1L, x.e) as ends, shiftleft(1L, x.e) - shiftleft(1L, x.s + 1) as inner))"))
-    folded = grouped.withColumn("mask", F.expr(_BPE if p.bpe else _VITERBI))
-    chosen = ("transform(filter(edges, x -> (mask & (shiftleft(1L, x.s) | shiftleft(1L, x.e))) = (shiftleft(1L, x.s) | shiftleft(1L, x.e)) "
-              "and (mask & (shiftleft(1L, x.e) - shiftleft(1L, x.s + 1))) = 0), x -> x.id)")
-    return folded.select("shard", "bucket", "i", F.expr(chosen).alias("ids"))
+        edges = sub.join(F.broadcast(pieces), match).select(*keys, "n", ((F.col("rank") * 64 + F.col("s")) * 64 + e).alias("k"))
+        grouped = edges.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("k")).alias("edges"))
+        return grouped.withColumn("multi", F.expr(_EDGES)).select(*keys, F.expr(_BPE).alias("mask"))
+    score = F.coalesce("score", F.lit(p.lowest - UNKNOWN_PENALTY))
+    edges = sub.join(F.broadcast(pieces), match, "left").filter("piece is not null or len = 1").select(*keys, "n", F.struct(e.alias("e"), "s", score.alias("score")).alias("x"))
+    grouped = edges.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("x")).alias("edges"))
+    return grouped.select(*keys, F.expr(_VITERBI).alias("mask"))
 
 
 def _answers(path: str, model_type: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Back to the blocks: per block and bucket the ids of its units, one after the other, and how many each has."""
-        p = load(path, model_type)
+        p, schema = load(path, model_type), pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("flat", pa.binary())])
         for b in batches:
-            for r in b.to_pylist():
-                ids: list = [None] * r["size"]
-                for unit in r["found"] or []:
-                    x = unit["ids"]
-                    ids[unit["i"]] = x if min(x) >= 0 else [j for y in x for j in ([y] if y >= 0 else p.single(chr(-y)))]
-                for i, x in zip(r["long"], r["long_ids"]):
-                    ids[i] = x
-                n = np.fromiter(map(len, ids), np.uint16 if max(map(len, ids)) < 1 << 16 else np.uint32, len(ids))
-                flat, first = np.array([j for x in ids for j in x], np.uint16 if len(p.text) <= 1 << 16 else np.uint32), np.r_[0, np.cumsum(n, dtype=np.int64)]
-                for block, at in zip(r["blocks"], r["at"]):
-                    k = unpack(at).astype(np.int64)
-                    yield pa.RecordBatch.from_pylist([{"block": block, "bucket": r["bucket"], "n": pack(n[k]), "flat": pack(flat[ragged(first[k], n[k])])}],
-                                                     pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("flat", pa.binary())]))
+            for row in range(b.num_rows):                                    # one bucket at a time: the units of all together would not be bounded
+                r = {name: b.column(i)[row] for i, name in enumerate(b.schema.names)}
+                units = r["units"].as_py()
+                mask = np.full(len(units), -1, np.int64)
+                if r["i"].is_valid:
+                    mask[r["i"].values.to_numpy()] = r["mask"].values.to_numpy()
+                ids: list = [u and array("I", p.cut(u.replace(" ", SPACE), m)) for u, m in zip(units, mask.tolist())]
+                for i, x in zip(r["long"].as_py(), r["long_ids"].as_py()):
+                    ids[i] = array("I", x)
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.frombuffer(b"".join(ids), np.uint32).astype(np.uint16 if len(p.text) <= 1 << 16 else np.uint32)
+                first, n = np.cumsum(n) - n, n.astype(np.uint16 if n.max() < 1 << 16 else np.uint32)
+                for block, at in zip(r["blocks"].as_py(), r["at"]):
+                    k = unpack(at.as_py()).astype(np.int64)
+                    yield pa.RecordBatch.from_pylist([{"block": block, "bucket": r["bucket"].as_py(), "n": pack(n[k]), "flat": pack(flat[ragged(first[k], n[k])])}], schema)
     return run
 
 
@@ -263,12 +278,12 @@ def encode(docs: DataFrame, path: str, model_type: int | None = None, most: int
     held = blocks.write(docs.select("doc_id", F.lit(False).alias("flag"), "text"), p.split, most)
     merged = stage(blocks.packs(held).groupBy("shard", "bucket").applyInArrow(
         _merged(path, model_type), "shard long, bucket int, units array<string>, blocks array<long>, at array<binary>, long array<int>, long_ids array<array<int>>"), "units")
-    units = (merged.select("shard", "bucket", "units").repartition(partitions(spark), "shard", "bucket")
+    units = (merged.select("shard", "bucket", "units").repartition(blocks.buckets(spark), "shard", "bucket")
              .select("shard", "bucket", F.posexplode("units").alias("i", "unit")).filter("unit is not null"))
-    found = (lattice(units, piece_table(spark, p), p).groupBy("shard", "bucket").agg(F.collect_list(F.struct("i", "ids")).alias("found")))
-    answers = (merged.select("shard", "bucket", F.size("units").alias("size"), "blocks", "at", "long", "long_ids").join(found, ["shard", "bucket"], "left")
+    found = (lattice(units, piece_table(spark, p), p).groupBy("shard", "bucket").agg(F.collect_list("i").alias("i"), F.collect_list("mask").alias("mask")))
+    answers = (merged.select("shard", "bucket", "units", "blocks", "at", "long", "long_ids").join(found, ["shard", "bucket"], "left")
                .mapInArrow(_answers(path, model_type), "block long, bucket int, n binary, flat binary"))
-    return blocks.join(held, answers, _assemble, ENCODED)
+    return blocks.join(held.select("block", "ids", "n", "codes", "place"), answers, _assemble, ENCODED)
 
 
 def decoded(ids: Column, path: str) -> Column:
