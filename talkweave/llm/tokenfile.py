@@ -5,8 +5,9 @@ the document's place: ``part`` (the partition) and ``pos`` (ids before it there)
 earlier parts, one number per part, and so gives every document's ``start`` in the whole token stream.  Readers of a few
 documents, or of the metadata only, skip pages and columns.
 
-The library encodes each distinct stretch of text once per worker: the pre-tokeniser of byte-level BPE never joins text over
-the places where ``_STRETCH`` cuts.  The memory of stretches is emptied when it is full, which changes no result.
+The library encodes stretches of text and a worker remembers their ids: the pre-tokeniser of byte-level BPE never joins text over
+the places where ``_STRETCH`` cuts.  The memory has two generations of bounded size, so frequent stretches stay; what is
+forgotten is encoded again.
 
 Defined cases: null and empty texts have the end id alone; rows with a null id come first; rows with equal ids stay separate and
 follow each other; extra columns are not read.
@@ -18,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1_000
-MEMORY = 2_000_000            # stretches that a worker remembers
-TOGETHER = 200_000            # characters whose new stretches are encoded in one call
+MEMORY = 450_000              # stretches in each of the two generations that a worker remembers
+TOGETHER = 2_000_000          # characters whose new stretches are encoded in one call
 _STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _ODD = re.compile("[\x1c-\x1f]|<\\|")        # white space for one library only, or perhaps a special token: encoded whole
 FILE = "part int, pos long, doc_id long, n_tokens int, ids array<int>"
@@ -46,34 +48,56 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.size = np.zeros(self.library.get_vocab_size(), np.int64)          # bytes of each id: its spelling has a character per byte
+        for piece, i in self.library.get_vocab().items():
+            self.size[i] = len(piece)
+
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches that start with a blank: encoded as one text, which the pre-tokeniser cuts before each, and cut by their bytes."""
+        if not stretches:
+            return []
+        ids = np.array(self.library.encode_batch_fast(["".join(stretches)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(np.fromiter((len(s.encode()) for s in stretches), np.int64, len(stretches)))
+        cuts = np.r_[0, np.searchsorted(np.cumsum(self.size[ids]), ends) + 1]
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def _learn(self, new: set[str]) -> None:
-        """Remembers the ids of new stretches.  A comma or stop after a letter is a token run of its own, and so is what precedes it."""
-        known, tail, heads = self.known, {}, set()
+        """Remembers the ids of new stretches.  Punctuation after a letter or digit is a run of its own."""
+        known, older, tail, ask = self.known, self.older, {}, []
         for s in new:
-            if len(s) > 1 and s[-1] in ".," and s[-2].isalpha():
-                tail[s] = s[-1]
-                heads.update(x for x in (s[:-1], s[-1]) if x not in known)
+            if s in older:
+                known[s] = older[s]
+                continue
+            head = s.rstrip(punctuation)
+            if head != s and head[-1:].isalnum():
+                tail[s] = head
             else:
-                heads.add(s)
-        ask = list(heads)
-        for s, e in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False)):
+                ask.append(s)
+        parts = {x for s, head in tail.items() for x in (head, s[len(head):])}.difference(known, ask)
+        known.update((x, older[x]) for x in parts if x in older)
+        ask += parts.difference(older)
+        plain = [s for s in ask if s[0] == " " and len(s) > 1 and not s.isspace()]
+        known.update(zip(plain, self._ids(plain)))
+        alone = list(set(ask).difference(plain))
+        for s, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
             known[s] = np.array(e.ids, np.int32).tobytes()
-        for s, c in tail.items():
-            known[s] = known[s[:-1]] + known[c]
+        for s, head in tail.items():
+            known[s] = known[head] + known[s[len(head):]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian 32-bit numbers."""
-        cut = [[t] if _ODD.search(t) else _STRETCH.findall(t) if t else [] for t in (x or "" for x in texts)]
-        new = {s for u in cut for s in u}.difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = {s for u in cut for s in u}
+        odd = {t for t in texts if t and _ODD.search(t)}
+        cut = [_STRETCH.findall(t) if t and t not in odd else [] for t in texts]
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        new = set().union(*cut).difference(self.known)
         if new:
             self._learn(new)
         get, end = self.known.__getitem__, np.array([END_ID], np.int32).tobytes()
-        return [b"".join(map(get, u)) + end for u in cut]
+        whole = {t: np.array(e.ids, np.int32).tobytes() for t, e in zip(odd, self.library.encode_batch_fast(list(odd), add_special_tokens=False))} if odd else {}
+        return [whole[t] + end if t in whole else b"".join(map(get, u)) + end for t, u in zip(texts, cut)] if whole else [b"".join(map(get, u)) + end for u in cut]
 
 
 @cache
