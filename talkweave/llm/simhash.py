@@ -1,6 +1,6 @@
-"""Near-duplicates by 64-bit SimHash fingerprints and multi-index hashing.
+"""Near-duplicates by SimHash fingerprints and multi-index hashing.
 
-The fingerprint is cut into a high and a low half.  Two fingerprints that differ in at most two bits differ in at most one
+``near_duplicates`` links 64-bit fingerprints of three-word shingles at two bits or fewer.  The fingerprint is cut into a high and a low half.  Two fingerprints that differ in at most two bits differ in at most one
 bit of the high half or in none of the low half, so each distinct fingerprint probes the 33 values of the radius-1 ball round its high
 half and the one value of its low half; the table of halves gives the matches, and complete distances are verified.
 
@@ -9,19 +9,27 @@ a probe into it, lists the 65 complete codes at most one bit away; two codes dif
 have such a code in common, so linking everything that lists a code to the smallest one there loses no link and makes no
 pairs.
 
+``similar_groups`` links documents whose sets of five-word shingles are alike by ``SIMILARITY`` (Jaccard) or more.  Such pairs differ in
+up to a sixth of their bits, too many for small balls in few segments, so the signature is longer (it grows with the logarithm
+of the number of texts) and its many segments need the ball of radius 0 only: ``signature_layout`` chooses as many as give a pair at the
+threshold the chance ``RECALL`` to share one.  Complete distances decide; they estimate the similarity with a standard error of
+about 0.03, and pairs up to one standard error beyond the threshold are linked.  Crowded segments are compared tile by tile and give spanning edges.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any others; copies and repeated rows share one
 fingerprint and so one component; a null id never names a component unless all ids there are null.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import stage
 from .graph import components
@@ -30,29 +38,50 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 CROWDED = 64          # distinct fingerprints per half above which codes replace pairs
-_BITS_AT_ONCE = 1 << 20
+SIMILARITY = 0.8      # of the sets of WIDE-word shingles
+WIDE = 5
+RECALL = 0.95         # that a pair at the threshold shares a segment
+SHARED = 4            # texts that share a segment by chance
+TILE = 1024
+_BITS_AT_ONCE = 1 << 18
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The hash of every shingle of a text, repeats included."""
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not w:
-        return 0
-    if len(w) <= SHINGLE:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)], np.uint64)
-    else:
-        joined = b" ".join(w)
-        size = np.fromiter(map(len, w), np.int64, len(w))
-        end = np.cumsum(size + 1) - 1
-        start = (end - size)[:len(w) - SHINGLE + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(start, end[SHINGLE - 1:].tolist())], np.uint64)
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= size:
+        return np.array([digest(joined, SEED)], np.uint64)
+    length = np.fromiter(map(len, w), np.int64, len(w))
+    end = np.cumsum(length + 1) - 1
+    start = (end - length)[:len(w) - size + 1].tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start, end[size - 1:].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed number."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), _BITS_AT_ONCE):
-        part = h[lo:lo + _BITS_AT_ONCE]
+        part = np.ascontiguousarray(h[lo:lo + _BITS_AT_ONCE])
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(h), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None) -> int:
+    return majority(shingle_hashes(text, SHINGLE))
+
+
+def signature(text: str | None, words: int) -> list[int]:
+    """``words`` independent fingerprints of the set of a text's wide shingles."""
+    h, out = np.unique(shingle_hashes(text, WIDE)), []
+    for j in range(words):
+        z = h + np.uint64((j * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(z ^ (z >> np.uint64(31))))
+    return out
 
 
 @F.pandas_udf(LongType())
@@ -103,11 +132,81 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when one of each component does: the row with the smallest id (then fingerprint)."""
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), fingerprint_of("text").alias("fp"))
-    printed = stage(whole.select(F.col("id").alias("doc_id"), "fp"), "simhash")
-    least = printed.join(groups(printed), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = least.groupBy("root", "component_id").agg(F.min("fp").alias("kept")).select("component_id", "kept")
-    return (whole.join(chosen, (F.col("fp") == F.col("kept")) & F.col("id").eqNullSafe(F.col("component_id")), "left_semi")
-            .dropDuplicates(["fp", "id"]).select("row.*"))
+def signature_layout(n: int, similarity: float = SIMILARITY) -> tuple[int, int, int, int]:
+    """Bits per segment, segments, words of the signature and the largest distance, for n texts."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(8, math.ceil(math.log2(max(2, n) / SHARED)))
+    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** bits))
+    words = max(8, math.ceil(segments / (64 // bits)))
+    size = 64 * words
+    return bits, segments, words, math.floor(size * (differ + math.sqrt(differ * (1 - differ) / size)))
+
+
+def signature_of(text: Column, words: int) -> Column:
+    @F.pandas_udf(ArrayType(LongType()))
+    def signed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series([signature(x, words) for x in t], dtype=object)
+    return signed(text)
+
+
+def _tiles(most: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Spanning edges of the links within a tile or between two (side 0 and 1; 2 is a tile with itself)."""
+        side, cid = rows.column("side").to_numpy(), rows.column("cid").to_numpy()
+        sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cid), -1)
+        same = (side == 2).all()
+        left, right = (np.arange(len(cid)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        distance = np.zeros((len(left), len(right)), np.int32)
+        for j in range(sig.shape[1]):
+            distance += np.bitwise_count(sig[left, j][:, None] ^ sig[right, j][None, :])
+        near = distance <= most
+        low = cid.copy()
+        while True:                                                         # the smallest id that each row reaches here
+            before = low.copy()
+            for a, b, m in ((left, right, near), (right, left, near.T)):
+                np.minimum.at(low, a, np.where(m, low[b][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+            if (low == before).all():
+                break
+        keep = low != cid
+        return pa.table({"u": cid[keep], "v": low[keep]})
+    return run
+
+
+def similar_groups(signed: DataFrame, layout: tuple[int, int, int, int]) -> DataFrame:
+    """(sig, root, component_id) for every distinct signature of ``signed(doc_id, sig)``."""
+    bits, segments, words, most = layout
+    per = 64 // bits
+    held = stage(signed.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "signatures")
+    value = f"shiftrightunsigned(sig[cast(t div {per} as int)], cast((t % {per}) * {bits} as int)) & {(1 << bits) - 1}L"
+    cut = held.select("cid", F.col("sig")[0].alias("a"), F.col("sig")[1].alias("b"), F.explode(F.expr(f"transform(sequence(0, {segments - 1}), t -> struct(t, {value} as value))")).alias("x"))
+    cut = cut.select("cid", "a", "b", "x.t", "x.value")
+    sizes = stage(cut.groupBy("t", "value").agg(F.count("*").alias("n")).filter("n > 1"), "segments")
+    calm = cut.join(sizes.filter(F.col("n") <= CROWDED).select("t", "value"), ["t", "value"])
+    other = calm.select("t", "value", F.col("cid").alias("v"), F.col("a").alias("c"), F.col("b").alias("d"))
+    first = F.bit_count(F.col("a").bitwiseXOR(F.col("c"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("d")))
+    loose = math.ceil(128 * (most / (64 * words) + 4 * math.sqrt(0.25 * 0.5 / 128)))      # two words reject pairs that are far apart
+    pairs = calm.join(other, ["t", "value"]).filter("cid > v").filter(first <= loose).select(F.col("cid").alias("u"), "v").distinct()
+    distance = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    edges = (pairs.join(held.select(F.col("cid").alias("u"), "sig"), "u").join(held.select(F.col("cid").alias("v"), F.col("sig").alias("sig2")), "v")
+             .filter(distance <= most).select("u", "v"))
+    busy = (cut.select("cid", "t", "value").join(sizes.filter(F.col("n") > CROWDED), ["t", "value"]).join(held.select("cid", "sig"), "cid")
+            .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")))
+    meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
+        F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), F.when(F.col("mine") == o, 2).when(F.col("mine") < o, 0).otherwise(1).alias("side")))
+    dense = (busy.withColumn("p", F.explode(meet)).select("t", "value", "p.i", "p.j", "p.side", "cid", "sig")
+             .groupBy("t", "value", "i", "j").applyInArrow(_tiles(most), "u long, v long"))
+    root = components(edges.unionByName(dense))
+    rooted = held.join(root, held["cid"] == root["node"], "left").select("sig", "least", F.coalesce("root", "cid").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group of similar documents does: the row with the smallest id."""
+    layout = signature_layout(docs.count(), similarity)
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
+    signed = stage(whole.select(F.col("id").alias("doc_id"), "th", signature_of(F.col("text"), layout[2]).alias("sig")), "signed")
+    least = signed.join(similar_groups(signed, layout), "sig").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = least.groupBy("root").agg(F.min(F.struct("doc_id", F.coalesce("th", F.lit(0)).alias("th"))).alias("kept")).select("kept.doc_id", F.col("kept.th").alias("kth"))
+    return (whole.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.coalesce("th", F.lit(0)) == F.col("kth")), "left_semi")
+            .dropDuplicates(["id", "th"]).select("row.*"))

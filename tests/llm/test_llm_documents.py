@@ -115,10 +115,29 @@ def test_simhash_components(spark, docs, texts, none, crowded, monkeypatch):
     root = reach(len(fp), lambda i, j: bin(fp[i] ^ fp[j]).count("1") <= 2)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(table).collect()}
     assert got == {i: (f"{fp[i]:016x}", root[i]) for i in range(len(fp))}
-    if crowded == 64:
-        kept = simhash.keep_one(docs)
-        assert kept.columns == docs.columns and kept.count() == len(set(root[:len(texts)]))
-        assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def plain_similarity(a, b):
+    x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("crowded,tile", [(64, 1024), (1, 16)])
+def test_one_of_each_similar_group_stays(spark, docs, texts, none, crowded, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(12)
+    long = [" ".join(f"v{x}" for x in rng.integers(0, 5000, 300)) for _ in range(8)]
+    near = [" ".join("changed" if k in (20 * i, 150) else w for k, w in enumerate(t.split())) for t in long for i in range(6)]
+    far = [" ".join(w if k % 4 else "other" for k, w in enumerate(t.split())) for t in long]
+    rows = [(1000 + i, t) for i, t in enumerate(long + near + far)]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    every = [r["text"] for r in d.collect()]
+    groups = len(set(reach(len(every), lambda i, j: plain_similarity(every[i], every[j]) >= 0.8)))
+    kept = simhash.keep_one(d).collect()
+    assert len(kept) == groups and {r["doc_id"] for r in kept} >= {1000 + i for i in range(8)} | {1056 + i for i in range(8)}
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(none).count() == 0
 
 
 def test_links_of_a_dense_ball(spark):
