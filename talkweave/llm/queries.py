@@ -116,3 +116,39 @@ def op3_surrogates(spark, sf):
     """Every document with surrogates for its personal data."""
     new = pii.replace(table(spark, sf, "documents").select("doc_id", "text"), SURROGATE_KEY)
     return new.select("row.doc_id", F.size("spans").cast("long").alias("n_entities"), "row.text")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op1_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p:p + 12], ' ') AS k
+      FROM b, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS u(p) WHERE len(w) > 0),
+s AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM i), unnest(range(1, len(w) - n + 2)) AS u(p)),
+h AS (SELECT doc_id, p, s.n, item_id FROM s JOIN i ON i.k = s.k AND i.n = s.n),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM h, unnest(range(p, p + n)) AS u(q) GROUP BY doc_id),
+o AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
+ORACLE["op8_chat_format"] = rf"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS t,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS l,
+    sum(17 + length(role) + length(text) + length(regexp_replace(text, '[^<>\\]', '', 'g')))::BIGINT AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM g
+"""
+
+ORACLE["op10_vector_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS low FROM v UNION SELECT e.v, r.low FROM r JOIN e ON e.u = r.node),
+m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.u = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON m.node = vec_id
+"""
