@@ -42,6 +42,7 @@ SIMILARITY = 0.8      # of the sets of WIDE-word shingles
 WIDE = 5
 RECALL = 0.95         # that a pair at the threshold shares a segment
 SHARED = 4            # texts that share a segment by chance
+DENSE = 16            # signatures per segment above which tiles replace pairs
 TILE = 1024
 _BITS_AT_ONCE = 1 << 18
 
@@ -182,7 +183,7 @@ def similar_groups(signed: DataFrame, layout: tuple[int, int, int, int]) -> Data
     cut = held.select("cid", F.col("sig")[0].alias("a"), F.col("sig")[1].alias("b"), F.explode(F.expr(f"transform(sequence(0, {segments - 1}), t -> struct(t, {value} as value))")).alias("x"))
     cut = cut.select("cid", "a", "b", "x.t", "x.value")
     sizes = stage(cut.groupBy("t", "value").agg(F.count("*").alias("n")).filter("n > 1"), "segments")
-    calm = cut.join(sizes.filter(F.col("n") <= CROWDED).select("t", "value"), ["t", "value"])
+    calm = cut.join(sizes.filter(F.col("n") <= DENSE).select("t", "value"), ["t", "value"])
     other = calm.select("t", "value", F.col("cid").alias("v"), F.col("a").alias("c"), F.col("b").alias("d"))
     first = F.bit_count(F.col("a").bitwiseXOR(F.col("c"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("d")))
     loose = math.ceil(128 * (most / (64 * words) + 4 * math.sqrt(0.25 * 0.5 / 128)))      # two words reject pairs that are far apart
@@ -190,7 +191,7 @@ def similar_groups(signed: DataFrame, layout: tuple[int, int, int, int]) -> Data
     distance = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     edges = (pairs.join(held.select(F.col("cid").alias("u"), "sig"), "u").join(held.select(F.col("cid").alias("v"), F.col("sig").alias("sig2")), "v")
              .filter(distance <= most).select("u", "v"))
-    busy = (cut.select("cid", "t", "value").join(sizes.filter(F.col("n") > CROWDED), ["t", "value"]).join(held.select("cid", "sig"), "cid")
+    busy = (cut.select("cid", "t", "value").join(sizes.filter(F.col("n") > DENSE), ["t", "value"]).join(held.select("cid", "sig"), "cid")
             .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")))
     meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
         F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), F.when(F.col("mine") == o, 2).when(F.col("mine") < o, 0).otherwise(1).alias("side")))

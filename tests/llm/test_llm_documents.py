@@ -123,9 +123,9 @@ def plain_similarity(a, b):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-@pytest.mark.parametrize("crowded,tile", [(64, 1024), (1, 16)])
-def test_one_of_each_similar_group_stays(spark, docs, texts, none, crowded, tile, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWDED", crowded)
+@pytest.mark.parametrize("dense,tile", [(16, 1024), (1, 16)])
+def test_one_of_each_similar_group_stays(spark, docs, texts, none, dense, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     monkeypatch.setattr(simhash, "TILE", tile)
     rng = np.random.default_rng(12)
     long = [" ".join(f"v{x}" for x in rng.integers(0, 5000, 300)) for _ in range(8)]
