@@ -9,17 +9,18 @@ a probe into it, lists the 65 complete codes at most one bit away; two codes dif
 have such a code in common, so linking everything that lists a code to the smallest one there loses no link and makes no
 pairs.
 
-``similar_groups`` links documents whose sets of five-word shingles are alike by ``SIMILARITY`` (Jaccard) or more.  Such pairs differ in
-up to a sixth of their bits, too many for small balls in few segments, so the signature is longer (it grows with the logarithm
-of the number of texts) and its many segments need the ball of radius 0 only: ``signature_layout`` chooses as many as give a pair at the
-threshold the chance ``RECALL`` to share one.  Complete distances decide; they estimate the similarity with a standard error of
-about 0.03, and pairs up to one standard error beyond the threshold are linked.  Crowded segments are compared tile by tile and give spanning edges.
+``similar_groups`` links documents whose sets of five-word shingles are alike by ``SIMILARITY`` (Jaccard) or more, and no others: the exact sets
+decide, so neither a signature nor the size of the table can change a link.  Candidates come from bands of ``ROWS`` minimum hashes of the set, because SimHash bits
+of such sets differ in a sixth of all places and more for short texts; a pair at the threshold shares one of the bands with the chance ``RECALL``, whatever
+the length of its texts.  Members of a band of more than ``DENSE`` sets are compared to its smallest id first; what is not yet joined to that one is compared to
+the whole band tile by tile, which gives spanning edges.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any others; copies and repeated rows share one
 fingerprint and so one component; a null id never names a component unless all ids there are null.
 """
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from .common import stage
 from .graph import components
@@ -40,11 +41,12 @@ RADIUS = 2
 CROWDED = 64          # distinct fingerprints per half above which codes replace pairs
 SIMILARITY = 0.8      # of the sets of WIDE-word shingles
 WIDE = 5
-RECALL = 0.95         # that a pair at the threshold shares a segment
-SHARED = 4            # texts that share a segment by chance
-DENSE = 16            # signatures per segment above which tiles replace pairs
-TILE = 1024
+ROWS = 4              # minimum hashes of a band
+RECALL = 0.99999      # that a pair at the threshold shares a band
+DENSE = 16            # sets per band above which tiles replace pairs
+TILE = 512
 _BITS_AT_ONCE = 1 << 18
+_HASHES_AT_ONCE = 2048
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -74,15 +76,29 @@ def fingerprint(text: str | None) -> int:
     return majority(shingle_hashes(text, SHINGLE))
 
 
-def signature(text: str | None, words: int) -> list[int]:
-    """``words`` independent fingerprints of the set of a text's wide shingles."""
-    h, out = np.unique(shingle_hashes(text, WIDE)), []
-    for j in range(words):
-        z = h + np.uint64((j * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(z ^ (z >> np.uint64(31))))
-    return out
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def bands_of(h: np.ndarray, bands: int) -> np.ndarray:
+    """One number per band for a set of hashes: what its ``ROWS`` minimum hashes are; an empty set has none."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    step = np.arange(ROWS * bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    low = np.full(ROWS * bands, np.iinfo(np.uint64).max)
+    for lo in range(0, len(h), _HASHES_AT_ONCE):
+        np.minimum(low, _mixed(h[lo:lo + _HASHES_AT_ONCE, None] + step).min(axis=0), out=low)
+    out = np.arange(bands, dtype=np.uint64)
+    for column in low.reshape(bands, ROWS).T:
+        out = _mixed(out ^ column)
+    return out.view(np.int64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's wide shingles, sorted."""
+    return np.unique(shingle_hashes(text, WIDE))
 
 
 @F.pandas_udf(LongType())
@@ -133,81 +149,94 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def signature_layout(n: int, similarity: float = SIMILARITY) -> tuple[int, int, int, int]:
-    """Bits per segment, segments, words of the signature and the largest distance, for n texts."""
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(8, math.ceil(math.log2(max(2, n) / SHARED)))
-    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** bits))
-    words = max(8, math.ceil(segments / (64 // bits)))
-    size = 64 * words
-    return bits, segments, words, math.floor(size * (differ + math.sqrt(differ * (1 - differ) / size)))
+def bands_at(similarity: float = SIMILARITY) -> int:
+    """How many bands give a pair at this similarity the chance ``RECALL`` to share one."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - similarity ** ROWS))
 
 
-def signature_of(text: Column, words: int) -> Column:
-    @F.pandas_udf(ArrayType(LongType()))
-    def signed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def signed_of(text: Column, bands: int) -> Column:
+    @F.pandas_udf(StructType().add("sid", BinaryType()).add("size", LongType()).add("bands", ArrayType(LongType())))
+    def signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            yield pd.Series([signature(x, words) for x in t], dtype=object)
+            sets = [shingle_set(x) for x in t]
+            yield pd.DataFrame({"sid": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "size": [len(h) for h in sets],
+                                "bands": [bands_of(h, bands).tolist() for h in sets]})
     return signed(text)
 
 
-def _tiles(most: int):
+@F.pandas_udf(ArrayType(LongType()))
+def shingles_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for t in texts:
+        yield pd.Series([shingle_set(x).view(np.int64) for x in t], dtype=object)
+
+
+def _tiles(similarity: float):
     def run(rows: pa.Table) -> pa.Table:
-        """Spanning edges of the links within a tile or between two (side 0 and 1; 2 is a tile with itself)."""
-        side, cid = rows.column("side").to_numpy(), rows.column("cid").to_numpy()
-        sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cid), -1)
-        same = (side == 2).all()
-        left, right = (np.arange(len(cid)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        distance = np.zeros((len(left), len(right)), np.int32)
-        for j in range(sig.shape[1]):
-            distance += np.bitwise_count(sig[left, j][:, None] ^ sig[right, j][None, :])
-        near = distance <= most
-        low = cid.copy()
-        while True:                                                         # the smallest id that each row reaches here
-            before = low.copy()
-            for a, b, m in ((left, right, near), (right, left, near.T)):
-                np.minimum.at(low, a, np.where(m, low[b][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-            if (low == before).all():
-                break
-        keep = low != cid
-        return pa.table({"u": cid[keep], "v": low[keep]})
+        """Edges that join what is alike within a tile or between two (side 0 and 1; 2 is a tile with itself) and not joined yet."""
+        side, cid, label = (rows.column(c).to_numpy().copy() for c in ("side", "cid", "root"))
+        length = rows.column("h").combine_chunks().value_lengths().to_numpy()
+        member = np.unique(rows.column("h").combine_chunks().flatten().to_numpy(), return_inverse=True)[1]
+        owner, ends = np.repeat(np.arange(len(cid)), length), np.cumsum(length)
+        left, right = (np.arange(len(cid)),) * 2 if (side == 2).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        u, v = [], []
+        for a in left:
+            apart = right[label[right] != label[a]]
+            if not len(apart):
+                continue
+            mine = np.zeros(member.max() + 1, bool)
+            mine[member[ends[a] - length[a]:ends[a]]] = True
+            shared = np.bincount(owner[mine[member]], minlength=len(cid))[apart]
+            near = apart[shared / (length[a] + length[apart] - shared) >= similarity]
+            joined, first = np.unique(label[near], return_index=True)
+            u += [cid[a]] * len(first)
+            v += cid[near[first]].tolist()
+            label[np.isin(label, joined)] = label[a]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
     return run
 
 
-def similar_groups(signed: DataFrame, layout: tuple[int, int, int, int]) -> DataFrame:
-    """(sig, root, component_id) for every distinct signature of ``signed(doc_id, sig)``."""
-    bits, segments, words, most = layout
-    per = 64 // bits
-    held = stage(signed.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "signatures")
-    value = f"shiftrightunsigned(sig[cast(t div {per} as int)], cast((t % {per}) * {bits} as int)) & {(1 << bits) - 1}L"
-    cut = held.select("cid", F.col("sig")[0].alias("a"), F.col("sig")[1].alias("b"), F.explode(F.expr(f"transform(sequence(0, {segments - 1}), t -> struct(t, {value} as value))")).alias("x"))
-    cut = cut.select("cid", "a", "b", "x.t", "x.value")
-    sizes = stage(cut.groupBy("t", "value").agg(F.count("*").alias("n")).filter("n > 1"), "segments")
-    calm = cut.join(sizes.filter(F.col("n") <= DENSE).select("t", "value"), ["t", "value"])
-    other = calm.select("t", "value", F.col("cid").alias("v"), F.col("a").alias("c"), F.col("b").alias("d"))
-    first = F.bit_count(F.col("a").bitwiseXOR(F.col("c"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("d")))
-    loose = math.ceil(128 * (most / (64 * words) + 4 * math.sqrt(0.25 * 0.5 / 128)))      # two words reject pairs that are far apart
-    pairs = calm.join(other, ["t", "value"]).filter("cid > v").filter(first <= loose).select(F.col("cid").alias("u"), "v").distinct()
-    distance = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    edges = (pairs.join(held.select(F.col("cid").alias("u"), "sig"), "u").join(held.select(F.col("cid").alias("v"), F.col("sig").alias("sig2")), "v")
-             .filter(distance <= most).select("u", "v"))
-    busy = (cut.select("cid", "t", "value").join(sizes.filter(F.col("n") > DENSE), ["t", "value"]).join(held.select("cid", "sig"), "cid")
-            .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")))
-    meet = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
-        F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), F.when(F.col("mine") == o, 2).when(F.col("mine") < o, 0).otherwise(1).alias("side")))
-    dense = (busy.withColumn("p", F.explode(meet)).select("t", "value", "p.i", "p.j", "p.side", "cid", "sig")
-             .groupBy("t", "value", "i", "j").applyInArrow(_tiles(most), "u long, v long"))
-    root = components(edges.unionByName(dense))
-    rooted = held.join(root, held["cid"] == root["node"], "left").select("sig", "least", F.coalesce("root", "cid").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "root", "component_id")
+def similar_groups(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(sid, root, component_id) for every distinct shingle set of ``signed(doc_id, th, sid, size, bands)``; ``texts(th, text)`` has the texts."""
+    held = stage(signed.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+                 .withColumn("cid", F.monotonically_increasing_id()), "sets")
+    cut = held.select("cid", "size", F.explode("bands").alias("band"))
+    sizes = cut.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("cid", "size")).alias("hub")).filter("n > 1")
+    members = stage(cut.join(sizes, "band"), "bands")
+    calm, busy = members.filter(F.col("n") <= DENSE).select("band", "cid", "size"), members.filter(F.col("n") > DENSE)
+    fits = F.least("size", "size2") / F.greatest("size", "size2") >= similarity
+    pairs = calm.join(calm.select("band", F.col("cid").alias("v"), F.col("size").alias("size2")), "band").filter("cid > v").filter(fits).select(F.col("cid").alias("u"), "v")
+    spokes = busy.withColumn("size2", F.col("hub.size")).filter("cid <> hub.cid").filter(fits).select(F.col("cid").alias("u"), F.col("hub.cid").alias("v"))
+    pairs = stage(pairs.unionByName(spokes).distinct(), "pairs")
+    needed = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).unionByName(busy.select("cid")).distinct()
+    named = texts.join(held.join(needed, "cid").select("cid", "th"), "th").groupBy("cid").agg(F.min("text").alias("text"))
+    sets = stage(named.select("cid", shingles_of("text").alias("h")), "shingles")
+    shared = F.size(F.array_intersect("h", "h2"))
+    edges = stage(pairs.join(sets.withColumnRenamed("cid", "u"), "u").join(sets.select(F.col("cid").alias("v"), F.col("h").alias("h2")), "v")
+                  .filter(shared / (F.size("h") + F.size("h2") - shared) >= similarity).select("u", "v"), "alike")
+    root = components(edges)
+    rooted = busy.select("band", "cid", F.col("hub.cid").alias("hub")).join(root, F.col("cid") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "cid"))
+    centre = rooted.filter("cid = hub").select("band", F.col("root").alias("centre"))
+    apart = F.col("root") != F.col("centre")
+    rooted = stage(rooted.join(centre, "band").withColumn("apart", apart).drop("hub", "centre"), "rooted")
+    open_ = rooted.groupBy("band").agg(F.count_if("apart").alias("k"), F.count_if(~F.col("apart")).alias("l")).filter("k > 0")
+    open_ = stage(open_.select("band", *[F.ceil(F.col(c) / TILE).cast("int").alias(c) for c in "kl"]), "open")
+    if not open_.isEmpty():
+        placed = rooted.join(open_, "band").join(sets, "cid").withColumn(
+            "mine", F.when(F.col("apart"), F.pmod(F.xxhash64("cid"), F.col("k"))).otherwise(F.col("k") + F.pmod(F.xxhash64("cid"), F.col("l"))).cast("int"))
+        meet = F.transform(F.sequence(F.lit(0), F.when(F.col("apart"), F.col("k") + F.col("l")).otherwise(F.col("k")) - 1), lambda o: F.struct(
+            F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), F.when(F.col("mine") == o, 2).when(F.col("mine") < o, 0).otherwise(1).alias("side")))
+        dense = (placed.withColumn("p", F.explode(meet)).select("band", "p.i", "p.j", "p.side", "cid", "root", "h")
+                 .groupBy("band", "i", "j").applyInArrow(_tiles(similarity), "u long, v long"))
+        root = components(edges.unionByName(dense))
+    rooted = held.join(root, held["cid"] == root["node"], "left").select("sid", "least", F.coalesce("root", "cid").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of similar documents does: the row with the smallest id."""
-    layout = signature_layout(docs.count(), similarity)
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
-    signed = stage(whole.select(F.col("id").alias("doc_id"), "th", signature_of(F.col("text"), layout[2]).alias("sig")), "signed")
-    least = signed.join(similar_groups(signed, layout), "sig").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    signed = stage(whole.select(F.col("id").alias("doc_id"), "th", signed_of(F.col("text"), bands_at(similarity)).alias("s")).select("doc_id", "th", "s.*"), "signed")
+    least = signed.join(similar_groups(signed, whole.select("th", "text"), similarity), "sid").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = least.groupBy("root").agg(F.min(F.struct("doc_id", F.coalesce("th", F.lit(0)).alias("th"))).alias("kept")).select("kept.doc_id", F.col("kept.th").alias("kth"))
     return (whole.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.coalesce("th", F.lit(0)) == F.col("kth")), "left_semi")
             .dropDuplicates(["id", "th"]).select("row.*"))

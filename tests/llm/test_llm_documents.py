@@ -140,6 +140,21 @@ def test_one_of_each_similar_group_stays(spark, docs, texts, none, dense, tile,
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(none).count() == 0
 
 
+def short_pairs(n, words):
+    """Pairs of texts, the second one word longer."""
+    for i in range(n):
+        t = " ".join(f"p{i}w{k}" for k in range(words))
+        yield t, f"{t} p{i}end"
+
+
+def test_similar_pairs_at_the_threshold_are_found(spark):
+    """Eight words and one more: four of five shingles, 0.8 exactly."""
+    texts = [x for p in short_pairs(2000, 8) for x in p]
+    assert plain_similarity(*texts[:2]) == 0.8
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_one(d).select("doc_id").orderBy("doc_id").collect()] == list(range(0, 4000, 2))
+
+
 def test_links_of_a_dense_ball(spark):
     """All 2081 codes within two bits of one: every half is crowded, and the links must join them without pairs."""
     codes = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
