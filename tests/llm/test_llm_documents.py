@@ -155,6 +155,18 @@ def test_similar_pairs_at_the_threshold_are_found(spark):
     assert [r["doc_id"] for r in simhash.keep_one(d).select("doc_id").orderBy("doc_id").collect()] == list(range(0, 4000, 2))
 
 
+@pytest.mark.parametrize("dense,tile", [(16, 512), (1, 8)])
+def test_only_exact_similarity_links(spark, dense, tile, monkeypatch):
+    """Pairs at 0.78 stay apart; a chain of neighbours at 0.82, whose other pairs are below 0.8, is one group."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    texts = [" ".join([*(f"a{i}w{k}" for k in range(100)), *(f"b{i}w{k}" for k in range(n))]) for i in range(100) for n in (0, 27)]
+    chain = [" ".join(f"c{k}" for k in range(10 * i, 10 * i + 105)) for i in range(30)]
+    assert round(plain_similarity(*texts[:2]), 2) == 0.78 and plain_similarity(*chain[:2]) > 0.8 > plain_similarity(chain[0], chain[2])
+    d = spark.createDataFrame(list(enumerate(texts + chain)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(d).collect()) == list(range(201))
+
+
 def test_links_of_a_dense_ball(spark):
     """All 2081 codes within two bits of one: every half is crowded, and the links must join them without pairs."""
     codes = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
