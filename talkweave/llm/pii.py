@@ -7,7 +7,7 @@ different entities keep different surrogates.
 A surrogate is made with a keyed hash (BLAKE2b) of kind, canonical entity and attempt, and keeps what is checked by type: digits stay digits and
 separators stay; a number that passes the Luhn test gets a surrogate that does; parts of an IPv4 address stay in range; letters keep case and script
 (Latin, Greek, Cyrillic, and others by their own block); hexadecimal secrets stay hexadecimal; names take the gender that the
-title says, from a list of their script.
+title says, from a list of their script, and letters of that script are appended, more with every second attempt, when the list is used up.
 
 Collisions are found by joins over the table of distinct entities: two entities with one surrogate, or a surrogate that is an entity of the corpus.  The
 entities that lose try again with the next attempt until none is left.  Entities are grouped before they are shuffled, so one that
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 ATTEMPTS = 64
+LISTED = 9                   # attempts that give a name from the list as it is; later ones append two more letters every two attempts
 SMALL = 200_000              # entities with later attempts (some 100 bytes each) that may be sent to the tasks
 # Kinds of entities in order of precedence, with their patterns.
 PATTERNS = (
@@ -126,8 +127,10 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return "".join(hexes[draw.below(16)] for _ in entity) if hexes else _shaped(entity, draw)
     if kind == "name":
         gender, parts = entity[0], entity[2:].split(" ")
-        known = NAMES.get((script(parts[0][0]), gender))
-        first = known[draw.below(len(known))] + _shaped("xx" * (attempt > 8), draw) if known else _shaped(parts[0], draw)
+        written = script(parts[0][0])
+        known = NAMES.get((written, gender))
+        first = known[draw.below(len(known))] if known else _shaped(parts[0], draw)
+        first += _shaped(ALPHABETS.get(written, parts[0])[0] * (2 * max(0, (attempt - LISTED + 1) // 2)), draw)
         return " ".join([first, *(_shaped(p, draw).capitalize() for p in parts[1:])])
     digits = re.sub(r"\D", "", entity)
     keep = re.match(r"\+\d{1,3}(?=\D)", entity) if kind == "phone" else None          # the country code

@@ -310,3 +310,13 @@ def test_surrogates_stay_distinct(spark):
     got = pii.surrogates(found, b"key").collect()
     new = [r["surrogate"].lower() for r in got]
     assert len(got) == len(names) == len(set(new)) and not set(new) & {x.lower() for x in names}
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrst", "абвгдежзиклмнопрстуф", "աբգդեզէըթժիլխծկհձղճմ"])
+def test_surrogates_do_not_run_out(spark, letters):
+    """20,000 names of one word and one gender, also in a script without a list of names."""
+    names = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters[:10] for d in letters[:5]]
+    found = spark.createDataFrame([("name", f"m {x}") for x in names], "kind string, entity string")
+    new = [r["surrogate"].lower() for r in pii.surrogates(found, b"key").collect()]
+    assert len(new) == len(set(new)) == len(names) == 20_000 and not set(new) & set(names)
+    assert {pii.script(c) for x in new for c in x} == {pii.script(letters[0])}
