@@ -107,10 +107,10 @@ def windows(items: list[tuple], size: int = WORDS) -> tuple[list[list[bytes]], l
     return [list(k) for k in found], [sorted(v, key=str) for v in found.values()]
 
 
-def _near(a: np.ndarray, b: np.ndarray, slop: int) -> np.ndarray:
-    """Which of ``a`` lie at most ``slop`` from a member of the sorted ``b``."""
-    i = np.searchsorted(b, a - slop)
-    return (i < len(b)) & (b[np.minimum(i, len(b) - 1)] <= a + slop)
+def _near(a: np.ndarray, b: np.ndarray, slop: int, least=-(1 << 62), most=1 << 62) -> np.ndarray:
+    """Which of ``a`` lie at most ``slop`` from a member of the sorted ``b`` that is between ``least`` and ``most``."""
+    i = np.searchsorted(b, np.maximum(a - slop, least))
+    return (i < len(b)) & (b[np.minimum(i, len(b) - 1)] <= np.minimum(a + slop, most))
 
 
 def _matcher(wins: list[list[bytes]], owners: list[list], slop: int):
@@ -122,11 +122,11 @@ def _matcher(wins: list[list[bytes]], owners: list[list], slop: int):
 
     def match(rows: pa.Table) -> pa.Table:
         """Hits in one segment: per document the merged intervals of hit words and the items found."""
-        lists, docs = [np.zeros(0, np.int64)] * len(terms), None
+        lists, docs, sizes = [np.zeros(0, np.int64)] * len(terms), None, None
         for r in rows.to_batches():
-            for kind, term, gaps, ids in zip(r.column("kind").to_pylist(), r.column("term").to_pylist(), r.column("gaps"), r.column("doc_ids")):
+            for kind, term, gaps, n_words in zip(r.column("kind").to_pylist(), r.column("term").to_pylist(), r.column("gaps"), r.column("n_words")):
                 if kind == 0:
-                    docs = np.asarray(gaps.values, np.int64)
+                    docs, sizes = np.asarray(gaps.values, np.int64), np.asarray(n_words.values, np.int64)
                 elif (k := terms.get(term.encode())) is not None:
                     lists[k] = np.cumsum(np.asarray(gaps.values, np.int64))
         size = np.array([len(x) for x in lists] + [1 << 60])
@@ -140,13 +140,20 @@ def _matcher(wins: list[list[bytes]], owners: list[list], slop: int):
                 start = start[_near(start, lists[grid[i, j]] - j, slop)]
                 if not len(start):
                     break
-            for s, d in zip(start.tolist(), (np.searchsorted(docs, start, side="right") - 1).tolist()):
+            if not len(start):
+                continue
+            d = np.searchsorted(docs, start + order[0], side="right") - 1               # the rarest term lies in the document, the start may not
+            if slop:
+                inside = np.logical_and.reduce([_near(start, lists[grid[i, j]] - j, slop, docs[d] - j, docs[d] + sizes[d] - 1 - j) for j in order])
+                start, d = start[inside], d[inside]
+            at = start - docs[d]
+            for s, e, d in zip(np.maximum(at, 0).tolist(), np.minimum(at + n, sizes[d]).tolist(), d.tolist()):
                 spans, seen = out.setdefault(d, ([], set()))
-                spans.append((s - int(docs[d]), s - int(docs[d]) + n))
+                spans.append((s, e))
                 seen.update(owners[i])
         segment = rows.column("segment")[0].as_py() if rows.num_rows else None
         return pa.Table.from_pylist(
-            [{"segment": segment, "ord": d, "spans": [{"s": max(0, s), "e": e} for s, e in merge(spans)], "items": sorted(seen)}
+            [{"segment": segment, "ord": d, "spans": [{"s": s, "e": e} for s, e in merge(spans)], "items": sorted(seen)}
              for d, (spans, seen) in out.items()], HIT_ARROW)
     return match
 
@@ -188,8 +195,8 @@ def find(index: DataFrame, tests: DataFrame, size: int = WORDS, slop: int = 0, i
         if not wins:
             continue
         vocabulary = spark.createDataFrame([(x.decode("utf-8", "replace"),) for x in {x for w in wins for x in w}], "term string")
-        near = index.select("segment", "kind", "term", "gaps", "doc_ids").join(F.broadcast(vocabulary), "term", "left_semi")
-        near = near.unionByName(index.filter("kind = 0").select("segment", "kind", "term", "gaps", "doc_ids"))
+        near = index.select("segment", "kind", "term", "gaps", "n_words").join(F.broadcast(vocabulary), "term", "left_semi")
+        near = near.unionByName(index.filter("kind = 0").select("segment", "kind", "term", "gaps", "n_words"))
         found = near.groupBy("segment").applyInArrow(_matcher(wins, owners, slop), HITS)
         hits = found if hits is None else hits.unionByName(found)
     docs = (index.filter("kind = 0").select("segment", F.explode(F.arrays_zip("ord", "doc_ids", "n_words")).alias("d"))

@@ -84,6 +84,15 @@ def test_proximity_allows_gaps(spark):
     assert found == {0: {1}, 1: {1, 2}, 4: {1, 2, 3, 4}}
 
 
+@pytest.mark.parametrize("first", [0, 1])
+def test_proximity_at_the_edges_of_a_document(spark, first):
+    """The phrase would start before the document, as the first and as a later one; spans end with the document."""
+    d = spark.createDataFrame([(1, "alpha alpha gamma"), (2, "beta gamma x alpha"), (3, "alpha gamma alpha")][first:], "doc_id long, text string").coalesce(1)
+    t = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    found = decontaminate.find(decontaminate.build_index(d), t, slop=4).filter("items is not null").collect()
+    assert [(r["doc_id"], [(x["s"], x["e"]) for x in r["spans"]]) for r in found] == [(2, [(0, 2)])]
+
+
 def plain_fingerprint(s):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(s))
     shingles = [" ".join(w)] if 0 < len(w) < 3 else [" ".join(w[i:i + 3]) for i in range(len(w) - 2)]
