@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, lm, pii, quality, sentencepiece, simhash, tokenfile, vectors
+from . import chat, decontaminate, exactdedup, linededup, lm, phrases, pii, quality, resample, sentencepiece, simhash, tokenfile, vectors
 from .common import stage, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -152,3 +152,64 @@ r AS (SELECT vec_id AS node, vec_id AS low FROM v UNION SELECT e.v, r.low FROM r
 m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
 SELECT vec_id, (SELECT count(*) FROM e WHERE e.u = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON m.node = vec_id
 """
+
+
+@query
+def op11_phrases(spark, sf):
+    return phrases.mine(table(spark, sf, "documents").select("lang", "text"))
+
+
+@query
+def op12_exact_dedup(spark, sf):
+    return exactdedup.classes(exactdedup.numbered(table(spark, sf, "documents"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op13_resample(spark, sf):
+    return resample.resample(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text"))
+
+
+_LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+
+ORACLE["op11_phrases"] = rf"""
+WITH p AS (SELECT lang, regexp_extract_all(x, '[^ \t]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\n\x0b\f\r]')) AS x FROM documents)),
+g AS (SELECT lang, w[i:i + m - 1] AS w, count(*) AS f FROM p, (SELECT unnest(range(1, 5)) AS m), unnest(range(1, len(w) - m + 2)) AS u(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(w) = 1 GROUP BY lang),
+c AS (SELECT lang, w, f AS a FROM g WHERE len(w) > 1 AND f >= 30),
+s AS (SELECT lang, w[i:i + m - 1] AS w, max(a) AS around FROM c, (SELECT unnest(range(2, 4)) AS m), unnest(range(1, len(w) - m + 2)) AS u(i)
+      WHERE m < len(w) GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN s ON s.lang = c.lang AND s.w = c.w WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
+q AS (SELECT k.lang, k.w, k.a, h.f AS l, t.f AS r, u.j, ((2000000::HUGEINT * a) // (h.f + t.f))::BIGINT AS score
+      FROM k, unnest(range(1, len(w))) AS u(j) JOIN g h ON h.lang = k.lang AND h.w = k.w[1:u.j] JOIN g t ON t.lang = k.lang AND t.w = k.w[u.j + 1:]),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, j) = 1),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase,
+        a, l, r, score FROM b)
+SELECT o.*, n FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE["op12_exact_dedup"] = f"""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_LOW} AS t FROM documents) WINDOW w AS (PARTITION BY t)
+"""
+
+ORACLE["op13_resample"] = f"""
+WITH tab AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+v AS (SELECT DISTINCT x FROM (SELECT unnest(w) AS x FROM d UNION ALL SELECT unnest(w) FROM b)),
+y AS (SELECT x, list_prepend(4294967295, list_transform(range(length(hex(x)) // 2), lambda i: ('0x' || substr(hex(x), 2 * i + 1, 2))::BIGINT)) AS y FROM v),
+h AS (SELECT x, xor(list_reduce(y, lambda c, z: xor(c >> 8, tab[xor(c & 255, z) + 1])), 4294967295) % 10000 AS k FROM y, tab),
+o AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL),
+s AS (SELECT k, sum(c) AS s FROM o JOIN h USING (x) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM (SELECT unnest(w) AS x FROM b) JOIN h USING (x) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM (SELECT DISTINCT k FROM h) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+w AS (SELECT doc_id, sum(c * gain)::BIGINT AS weight FROM o JOIN h USING (x) JOIN g USING (k) GROUP BY doc_id),
+e AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_features >= 20)
+SELECT e.*, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)
+"""
