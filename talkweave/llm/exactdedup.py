@@ -42,7 +42,7 @@ def proposed(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     key = F.xxhash64("text_sha256").alias("key")
     tasks = digests.select(key, F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g"))
     return (tasks.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(key, {counters})").alias("s"))
-            .agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
+            .groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))       # grouped: an empty partition sends no sketch
             .select(F.expr(f"explode(approx_top_k_estimate(s, {counters}))").alias("x")).select(F.col("x.item").alias("key")))
 
 
