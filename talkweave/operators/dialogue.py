@@ -368,7 +368,7 @@ def merge_near_duplicates(queries: DataFrame, key: str, min_cosine: float = 0.90
     g = q.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "_own", "vec"))).alias("i"))
     def dot(a: str, b: str) -> str:
         return (f"aggregate(zip_with({a}, {b}, (p, r) -> CAST(p AS DOUBLE) * r), 0D, (s, z) -> s + z)")
-    cos = f"({dot('k.vec', 'x.vec')} / sqrt({dot('k.vec', 'k.vec')} * {dot('x.vec', 'x.vec')}))"
+    cos = f"({dot('k.vec', 'x.vec')} / greatest(sqrt({dot('k.vec', 'k.vec')} * {dot('x.vec', 'x.vec')}), 1e-9D))"   # a zero vector is like nothing
     jac = "(size(array_intersect(k._own, x._own)) / greatest(size(array_union(k._own, x._own)), 1))"
     same = f"filter(acc.kept, k -> {jac} >= {min_jaccard} AND {cos} >= {min_cosine}D)"
     item = "struct<n: int, _own: array<string>, vec: array<float>>"

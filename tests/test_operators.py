@@ -190,3 +190,15 @@ def test_topk_in_two_levels_is_the_same(spark, monkeypatch):
     one = sorted(map(tuple, dense_topk(q, c, 7).collect()))
     monkeypatch.setattr(topk, "MIDDLE_LEVEL", 2)
     assert sorted(map(tuple, dense_topk(q, c, 7).collect())) == one
+
+
+def test_zero_vectors_are_like_nothing(spark):
+    """Two queries without a vector are merged by no cosine, and nothing divides by zero."""
+    from talkweave.operators import dialogue as D
+    from talkweave.plans.replay import cap_queries
+    rows = [("t", n, "refund policy terms", [0.0, 0.0]) for n in (1, 2)] + [("t", 3, "refund policy terms", [1.0, 0.0]), ("t", 4, "refund policy terms", [1.0, 0.0])]
+    q = spark.createDataFrame(rows, "k string, n int, origin string, vec array<float>")
+    assert {r["n"]: r["owner"] for r in D.merge_near_duplicates(q, "k").collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    blank = spark.createDataFrame([("t", n, "of the", "of the", ["x"], n == 1, None, "") for n in range(1, 7)],
+                                  "k string, n int, text string, origin string, keywords array<string>, is_anchor boolean, people int, alt string")
+    assert cap_queries(blank, "k", 4, 16).count() == 4
