@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,9 +175,10 @@ def _block_counts(row: dict, scan: int, cells: np.ndarray, shards: int, longest:
 
 def _scan(shard: DataFrame, scan: int, cells, shards: int, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zstandard.ZstdDecompressor().decompress(cells.value), np.uint8)
         for b in batches:
             for i in range(b.num_rows):
-                yield from _block_counts(b.slice(i, 1).to_pylist()[0], scan, cells.value, shards, longest)
+                yield from _block_counts(b.slice(i, 1).to_pylist()[0], scan, table, shards, longest)
         pa.default_memory_pool().release_unused()
     return shard.select("langs", "sizes", "words", "codes").mapInArrow(run, COUNTED)
 
@@ -198,9 +200,9 @@ def counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST,
     tables: list[DataFrame] = []
     scan, last = 0, shards - 1                                   # ``last``: the scan after which nothing is active
     while scan <= last:
-        sent = spark.sparkContext.broadcast(cells)
+        sent = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(cells.tobytes()))     # cells that are not set take next to nothing
         tables.append(stage(_scan(dealt.filter(F.col("shard") == scan % shards), scan, sent, shards, longest), "counted"))
-        sent.unpersist()
+        sent.destroy()                                           # the counts are written
         open_ = [t.filter((F.col("until") >= scan) & ~F.col("known") & (F.col("words") < longest)) for t in tables[-shards:]]
         found = open_[0]
         for t in open_[1:]:
