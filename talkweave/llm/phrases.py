@@ -5,6 +5,9 @@ first scan; a longer phrase becomes active at the end of the scan after which bo
 first word) have reached the threshold, and it is counted for exactly one full cycle from there, so its count is exact while
 other lengths are still being counted.  The scans end when nothing is active and nothing can become so: at most four cycles.
 
+Whether a phrase has reached the threshold is decided exactly when its cycle ends; before, a lower bound of its count activates
+longer phrases earlier.
+
 Shards are tables of blocks: a block lists its distinct words and holds its texts as positions in that list, so texts are split once and a scan reads
 numbers.  In a scan each block adds up its equal phrases before anything leaves it; these rows are appended to a table and the
 sums of the current cycle are taken by Spark's aggregation.
@@ -42,7 +45,7 @@ THRESHOLD = 30
 LONGEST = 4
 SHARDS = 3
 TOP = 2000
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_000_000
 CELL_BITS = 25
 NEVER = 255                     # more scans than there can be
 SALTS = 32
@@ -183,11 +186,25 @@ def _scan(shard: DataFrame, scan: int, cells, shards: int, longest: int) -> Data
     return shard.select("langs", "sizes", "words", "codes").mapInArrow(run, COUNTED)
 
 
-def _new_cells(counted: DataFrame, bits: int, threshold: int) -> list:
-    """The cells of the phrases that reach the threshold, as bitmaps of 32,768 cells: as many rows as the table has such parts, at most."""
+def _reached(tables: list[DataFrame], scan: int, threshold: int, longest: int) -> DataFrame:
+    """(hash, done, cells): phrases that have reached the threshold after a scan, by the 64-bit hash of the phrase.
+
+    Phrases whose cycle ends with this scan (``done``) are summed over all their rows.  Of the others only rows of two occurrences
+    and more are summed, a lower bound: most rows say "once", and a phrase that needs those waits for the end of its cycle.
+    """
+    open_ = None
+    for t in tables:
+        row = t.filter((F.col("until") == scan) | ((F.col("until") > scan) & (F.col("n") > 1) & ~F.col("known") & (F.col("words") < longest)))
+        row = row.select("hash", "n", (F.col("until") == scan).alias("done"), (F.col("words") < longest).alias("short"))
+        open_ = row if open_ is None else open_.unionByName(row)
+    return (open_.groupBy("hash").agg(F.sum("n").alias("n"), F.max("done").alias("done"), F.max("short").alias("short"))
+            .filter(F.col("n") >= threshold).drop("n"))
+
+
+def _new_cells(reached: DataFrame, bits: int) -> list:
+    """The cells of phrases as bitmaps of 32,768 cells: as many rows as the table has such parts, at most."""
     mask = (1 << bits) - 1
-    reached = counted.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
-    cell = reached.select(F.explode(F.array(F.col("hash").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(mask)))).alias("c"))
+    cell = reached.filter("short").select(F.explode(F.array(F.col("hash").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(mask)))).alias("c"))
     return (cell.groupBy(F.shiftright("c", 15).alias("part")).agg(F.expr("bitmap_construct_agg(c & 32767)").alias("bits"))).collect()
 
 
@@ -198,29 +215,27 @@ def counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST,
     dealt = blocks(docs, shards, most)
     cells = np.full(1 << bits, NEVER, np.uint8)
     tables: list[DataFrame] = []
+    done: list[DataFrame] = []
     scan, last = 0, shards - 1                                   # ``last``: the scan after which nothing is active
     while scan <= last:
         sent = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(cells.tobytes()))     # cells that are not set take next to nothing
         tables.append(stage(_scan(dealt.filter(F.col("shard") == scan % shards), scan, sent, shards, longest), "counted"))
         sent.destroy()                                           # the counts are written
-        open_ = [t.filter((F.col("until") >= scan) & ~F.col("known") & (F.col("words") < longest)) for t in tables[-shards:]]
-        found = open_[0]
-        for t in open_[1:]:
-            found = found.unionByName(t)
-        for r in _new_cells(found.select("hash", "n"), bits, threshold):
+        reached = stage(_reached(tables[-shards:], scan, threshold, longest), "reached")
+        done.append(reached.filter("done").select("hash"))
+        for r in _new_cells(reached, bits):
             part = cells[r["part"] << 15:(r["part"] + 1) << 15]
             new = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")[:len(part)].astype(bool) & (part == NEVER)
             if new.any():
                 part[new] = scan
                 last = scan + shards
         scan += 1
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    likely = every.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold).select("hash")     # a superset by 64-bit hashes: short rows
-    likely = stage(likely, "likely")
+    every, likely = tables[0], done[0]                           # likely: a superset by 64-bit hashes, so that few rows with texts are shuffled
+    for t, d in zip(tables[1:], done[1:]):
+        every, likely = every.unionByName(t), likely.unionByName(d)
+    likely = likely.distinct()
     likely = broadcast_if_small(likely, 16 * likely.count(), 16 << 20)
-    exact = (every.join(likely, "hash", "left_semi").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    exact = (every.join(likely, "hash", "left_semi").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("words").alias("words"))
              .filter(F.col("n") >= threshold))
     words = every.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     return stage(exact.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "n"), "phrases"), stage(words, "langs")
