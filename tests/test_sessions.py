@@ -4,8 +4,12 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from talkweave.plans.replay import replay
+from talkweave.operators import telemetry
+from talkweave.plans.replay import replay_all
+from talkweave.plans.trace import trace
+from talkweave import fixed_values as V
 from talkweave.sources import corpus as C
+from talkweave.sources.session_store import as_of, history
 from talkweave.sources.transcripts import chunk_rows, read_sessions
 from talkweave.streaming.sessions import answer_stream, partial_transcripts, read_chunks
 
@@ -28,9 +32,13 @@ def sessions(spark):
 
 
 @pytest.fixture(scope="module")
-def records(sessions, fixture_index):
-    rows = replay(sessions.select("session_id", "turn", "text"), fixture_index).collect()
-    return {(r["session_id"], r["turn_id"]): r for r in rows}
+def replayed(sessions, fixture_index):
+    return replay_all(sessions.select("session_id", "turn", "text", "parts"), fixture_index)
+
+
+@pytest.fixture(scope="module")
+def records(replayed):
+    return {(r["session_id"], r["turn_id"]): r for r in replayed.records.collect()}
 
 
 def test_transcript_times_grow(sessions):
@@ -74,16 +82,58 @@ def test_claims_are_grounded(records, fixture_index):
     assert not any(c.startswith("Doc_04") for r in records.values() for c in r["citations"])
 
 
+def test_early_searches_are_reused(records):
+    first = records[("workshop", "0")]
+    assert first["dispatched"] >= 3 and first["reused"] >= 2 and first["first_retrieval_s"] < 8
+    assert records[("travel", "1")]["dispatched"] == 0                           # small talk searches nothing
+    assert records[("workshop", "2")]["dispatched"] == 0                         # nor does "repeat that in two bullets"
+
+
+def test_versions_as_of_a_turn(replayed, records):
+    versions = history(replayed.states)
+    rows = {(r["session_id"], r["version"]): r for r in versions.collect()}
+    assert (rows[("workshop", 1)]["valid_from"], rows[("workshop", 1)]["valid_to"]) == (1, 2) and rows[("workshop", 2)]["valid_to"] is None
+    seen = lambda k: {r["session_id"]: r["answer_text"] for r in as_of(versions, k).collect()}
+    assert seen(1)["workshop"] == records[("workshop", "0")]["text"] and seen(3)["workshop"] == records[("workshop", "1")]["text"]
+    # notes end with the intent they belong to
+    last = rows[("workshop", 2)]
+    assert {n["iid"] for n in last["notes"]} <= {i["iid"] for i in last["intents"] if i["status"] == "active"}
+
+
+def test_trace_of_the_replay_is_complete(replayed):
+    t = trace(replayed).cache()
+    assert telemetry.schema_violations(t).count() == 0
+    r = telemetry.coverage_rate(telemetry.trace_coverage(t)).first()
+    assert r["turns"] == 5 and r["coverage"] == 1.0
+    for s in ("workshop", "travel"):
+        rows = t.filter(F.col("session_id") == s).orderBy("seq").collect()
+        assert [x["seq"] for x in rows] == list(range(1, len(rows) + 1))
+        assert rows[0]["event"] == "session_started" and rows[-1]["event"] == "session_ended"
+    kinds = {x["event"] for x in t.select("event").distinct().collect()}
+    assert set(V.EVENT_TYPES) - kinds <= {"uncertainty_flag"}
+    early = t.filter("event = 'turn_completed' AND turn_id = '0' AND session_id = 'workshop'").selectExpr("parse_json(payload) v").selectExpr(
+        "variant_get(v, '$.early_retrieval', 'boolean') e", "variant_get(v, '$.speculative.reused', 'int') n").first()
+    assert early["e"] and early["n"] >= 2
+
+
 def test_stream_equals_batch(spark, sessions, fixture_index, records):
+    """Two batches that cut the first turn in the middle: what was searched in the first serves the answer in the second."""
     root = tempfile.mkdtemp(prefix="run-")
-    chunk_rows(sessions).coalesce(1).write.json(f"{root}/in")
-    q = answer_stream(read_chunks(spark, f"{root}/in"), fixture_index, f"{root}/out")
+    rows = chunk_rows(sessions.filter("turn < 2")).withColumn("at", F.timestamp_seconds(F.lit(1e9) + F.col("t")))
+    head = (F.col("turn") == 0) & (F.col("seq") < 8) & ~F.col("is_end")
+    rows.filter(head).coalesce(1).write.json(f"{root}/in/a")
+    q = answer_stream(read_chunks(spark, f"{root}/in/*"), fixture_index, f"{root}/out")
+    q.awaitTermination()
+    assert not q.exception() and spark.read.parquet(f"{root}/out/early/changes/batch=0").count() >= 1
+    rows.filter(~head).coalesce(1).write.json(f"{root}/in/b")
+    q = answer_stream(read_chunks(spark, f"{root}/in/*"), fixture_index, f"{root}/out")       # a restart from the checkpoint
     q.awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out/records").collect()
-    assert len(got) == len(records)
+    assert len(got) == 4
     for r in got:
         want = records[(r["session_id"], r["turn_id"])]
         assert (r["kind"], r["version"], r["text"], r["citations"]) == (want["kind"], want["version"], want["text"], want["citations"])
+        assert (r["dispatched"], r["reused"]) == (want["dispatched"], want["reused"])
 
 
 def test_cumulative_chunks(spark):
@@ -115,19 +165,19 @@ def test_searches_start_before_the_turn_ends(sessions, fixture_index):
     assert got["travel/t2"]["searches"] == 0
 
 
-def test_late_and_repeated_chunks_answer_once(spark, fixture_index):
-    """A chunk that comes a batch after the end of its turn, or twice, brings the turn back: it stays answered once."""
+def test_a_repeated_batch_gives_the_same_rows(spark, fixture_index):
+    """A batch that runs again after a failure overwrites its own output, and reads the state of the batches before only."""
     from talkweave.streaming.sessions import TurnProcessor
+    from talkweave.streaming.turns import HEARD_DDL
     root = tempfile.mkdtemp(prefix="run-")
-    ddl = "session_id string, turn int, text string, complete boolean"
     ask = "Can you summarize the travel reimbursement rule for an employee trip?"
-    go = TurnProcessor(fixture_index, root)
-    go(spark.createDataFrame([("s", 1, ask, True)], ddl), 0)
-    go(spark.createDataFrame([("s", 1, ask + " please", True), ("t", 1, "thanks, that's helpful", False)], ddl), 1)
-    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/records").collect()
-    assert [(r["session_id"], r["turn_id"], r["version"]) for r in rows] == [("s", "1", 1)]
-    go(spark.createDataFrame([("s", 1, ask, True)], ddl), 0)              # the first batch once more, after a failure
-    assert spark.read.option("recursiveFileLookup", True).parquet(f"{root}/records").count() == 1
+    go = TurnProcessor(spark, fixture_index, root)
+    rows = [("s", 1, 0, 0.0, 1000, ask, True, "chunk"), ("t", 1, 0, 0.0, 1000, "thanks, that's", False, None)]
+    for _ in range(2):
+        go(spark.createDataFrame(rows, HEARD_DDL), 0)
+    got = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/records").collect()
+    assert [(r["session_id"], r["turn_id"], r["version"]) for r in got] == [("s", "1", 1)]
+    assert [(r["session_id"], r["version"], r["valid_from"], r["valid_to"]) for r in go.history().collect()] == [("s", 1, 1, None)]
 
 
 def test_suffixes_in_any_case_and_bad_lines(spark):
