@@ -62,18 +62,26 @@ def pieces(text: bytes) -> list[bytes]:
     return [*text.translate(TABLE).replace(b"\n", b" \n ").replace(b"  ", b" ").strip(b" ").split(b" "), b"\n"]
 
 
+class _Codes(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Block:
     """Words of texts by language: codes are positions in the language's dictionary until the block is cut."""
 
     def __init__(self) -> None:
-        self.words: dict[str, dict[bytes, int]] = {}
+        self.words: dict[str, _Codes] = {}
         self.parts: list[tuple[str, np.ndarray]] = []
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        seen = self.words.setdefault(lang, {b"\n": 0, b"": 1})
+        seen = self.words.setdefault(lang, _Codes({b"\n": 0, b"": 1}))
         w = pieces(text)
-        codes = np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.uint32, len(w))
+        codes = np.fromiter(map(seen.__getitem__, w), np.uint32, len(w))
         self.parts.append((lang, codes[codes != 1]))             # 1: nothing between two blanks
         self.size += len(w)
 
