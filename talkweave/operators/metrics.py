@@ -58,9 +58,13 @@ def rank_quality(evidence: DataFrame, gold: DataFrame, configs: list[str] | None
 
 
 def key_fact_recall(answers: DataFrame, facts: DataFrame) -> DataFrame:
-    """``answers(turn_key, text)``, ``facts(turn_key, fact)`` -> one row per fact with ``found``."""
-    return facts.join(answers, "turn_key", "left").select(
-        "turn_key", "fact", F.expr(f"coalesce(contains({norm_fact('text')}, {norm_fact('fact')}), false)").alias("found"))
+    """``answers(turn_key, text)``, ``facts(turn_key, fact)`` -> one row per fact with ``found``.
+
+    A turn may have several answer texts (its cited passages, a handful): a fact is found in any of them.
+    """
+    texts = answers.groupBy("turn_key").agg(F.collect_list("text").alias("texts"))
+    return facts.join(texts, "turn_key", "left").select("turn_key", "fact", F.expr(
+        f"coalesce(exists(texts, t -> coalesce(contains({norm_fact('t')}, {norm_fact('fact')}), false)), false)").alias("found"))
 
 
 def citation_precision(cites: DataFrame, gold: DataFrame) -> DataFrame:

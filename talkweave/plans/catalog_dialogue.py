@@ -10,6 +10,7 @@ from ..operators import dialogue as D
 from ..operators import gate as G
 from ..operators import speculation as X
 from ..operators import timeline as L
+from ..operators.containment import containment_join
 from ..operators.dense import embed_tokens
 from ..session import stage
 from . import inputs as I
@@ -158,9 +159,9 @@ def turn_accumulate(spark, sf):
 
 @query
 def session_merge_ctx(spark, sf):
-    """Five most recent distinct terms per conversation; a turn contributes its first four."""
-    four = f"slice(array_distinct({T.content_tokens_sql('text')}), 1, 4)"
-    m = I.conversations(spark, sf).select("conv_id", "turn", F.posexplode(F.expr(four)).alias("pos", "term"))
+    """Five most recent distinct terms per conversation; a turn contributes all its terms."""
+    terms = f"array_distinct({T.content_tokens_sql('text')})"
+    m = I.conversations(spark, sf).select("conv_id", "turn", F.posexplode(F.expr(terms)).alias("pos", "term"))
     return L.recent_terms(m, "conv_id", "turn", "pos", "term", 5)
 
 
@@ -191,9 +192,11 @@ def speculative_reuse(spark, sf):
     surplus joined to its nearest, reuse those searches or miss them."""
     spoken = stage(D.subqueries(_clauses(spark, sf)), "spoken")
     shape = lambda q: q.select("turn_key", "n", L.query_key("text").alias("query_key"),
-                               F.expr("filter(keywords, k -> k RLIKE '^[0-9]+$')").alias("hard"), embed_tokens("keywords", S.embed_dim).alias("vec"))
-    q = stage(shape(cap_queries(spoken, "turn_key", S.max_subqueries, S.embed_dim).filter("n IS NOT NULL")), "finals")
-    first = shape(spoken).withColumnRenamed("n", "m")
+                               "hard", embed_tokens("keywords", S.embed_dim).alias("vec"))
+    terms = I.index(spark, sf).terms
+    hard = lambda q: X.hard_terms(q.withColumn("_k", F.concat_ws("/", "turn_key", "n")), terms, "_k")  # noqa: E731  (entities and numbers)
+    q = stage(shape(hard(cap_queries(spoken, "turn_key", S.max_subqueries, S.embed_dim).filter("n IS NOT NULL"))), "finals")
+    first = stage(shape(hard(spoken)), "dispatched").withColumnRenamed("n", "m")
     r = L.reuse(q, first, "turn_key", S.reuse_cosine)
     return r.groupBy("turn_key").agg(F.count("*").alias("finals"), F.count("reused").alias("reused"),
                                      F.count_if(F.col("reused") < F.col("n")).alias("from_earlier"))
@@ -205,3 +208,17 @@ def speculative_dispatches(spark, sf):
     t = _turns(spark, sf).filter("role = 'user'").withColumn("parts", L.timed_parts("text", "turn_key"))
     t = stage(t.select("turn_key", "parts", L.end_of("parts").alias("t_end")), "speech")
     return X.early_turns(t, X.dispatches(t, I.index(spark, sf).terms))
+
+
+@query
+def hard_term_containment(spark, sf):
+    """Lines with entities or numbers, and how many turns of their conversation name all of them."""
+    hard = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Z][a-z]+|[0-9]+"), 0))
+    t = _turns(spark, sf)
+    lines = t.select("conv_id", F.posexplode(F.split("text", "\n")).alias("n", "line"), "turn").select(
+        "conv_id", F.struct("turn", "n").alias("at"), hard(F.col("line")).alias("items")).filter(F.size("items") > 0)
+    lines = stage(lines, "hard_lines")
+    met = containment_join(lines, t.select("conv_id", F.col("turn").alias("other"), hard(F.col("text")).alias("items")), ["conv_id"], "at", "other")
+    counts = met.groupBy("conv_id", "at").agg(F.count("*").alias("n_turns"))
+    return lines.join(counts, ["conv_id", "at"], "left").select(
+        "conv_id", "at.turn", "at.n", F.size("items").alias("n_terms"), F.coalesce("n_turns", F.lit(0).cast("long")).alias("n_turns"))

@@ -10,6 +10,7 @@ from ..operators import timeline as L
 from . import inputs as I
 from . import retrieval as R
 from .catalog import S, query
+from ..session import stage
 from .layout import blocked_position, broadcast_if_small, byte_size, read_table, spread
 
 # the event log stands in for a trace: a user's day is a turn
@@ -180,11 +181,10 @@ def gold_misses(spark, sf):
 
 @query
 def key_fact_recall(spark, sf):
-    """Sentence units of the passages looked up in the text of the best chunk."""
+    """Sentence units of the passages looked up in the texts of all their hits."""
     ix = I.index(spark, sf)
-    best = _evidence(spark, sf, ix).filter("rank = 1")
-    size = byte_size(read_table(spark, sf, "benchmark"), "text")
-    answers = ix.chunks.select(F.col("chunk_id").alias("label"), "text").join(broadcast_if_small(best, size), "label").select(
+    hits = stage(_evidence(spark, sf, ix), "evidence")
+    answers = ix.chunks.select(F.col("chunk_id").alias("label"), "text").join(broadcast_if_small(hits, byte_size(hits, "turn_key", "label")), "label").select(
         "turn_key", "text")
     facts = _gold(spark, sf).select("turn_key", F.col("unit").alias("fact"))
     return M.key_fact_recall(answers, facts).groupBy("turn_key").agg(

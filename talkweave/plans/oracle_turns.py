@@ -37,7 +37,7 @@ SELECT conv_id || '/' || turn AS turn_key, (i - 1)::DOUBLE AS t, md5(trim(array_
 FROM l, unnest(range(1, len(l) + 1)) AS u(i)"""
 ORACLE["session_merge_ctx"] = f"""
 WITH t AS (SELECT conv_id, turn, {content('text')} AS tk FROM conversations),
-d AS (SELECT conv_id, turn, list_filter(tk, lambda x, i: list_position(tk, x) = i)[1:4] AS f FROM t),
+d AS (SELECT conv_id, turn, list_filter(tk, lambda x, i: list_position(tk, x) = i) AS f FROM t),
 m AS (SELECT conv_id, turn, i, f[i] AS term FROM d, unnest(range(1, len(f) + 1)) AS u(i)),
 l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, term ORDER BY turn DESC, i) = 1)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, i))::INTEGER AS rank, term FROM l
@@ -154,8 +154,8 @@ ORACLE["gold_misses"] = w(HITS + BENCH_UNITS, """SELECT turn_key, intent::INTEGE
       AND h.chunk_id = g.chunk_id AND rank <= 3))""")
 _NORM = r"regexp_replace(regexp_replace(replace(lower({}), '’', ''''), '([0-9]),([0-9])', '\1\2', 'g'), '\s+', ' ', 'g')"
 ORACLE["key_fact_recall"] = w(HITS + BENCH_UNITS, f"""SELECT b.turn_key, count(*) AS facts,
-    count(*) FILTER (contains({_NORM.format('t.text')}, {_NORM.format('b.u')})) AS found
-    FROM bg b LEFT JOIN hit h ON h.qid = b.turn_key AND h.rank = 1 LEFT JOIN tok t ON t.chunk_id = h.chunk_id GROUP BY b.turn_key""")
+    count(*) FILTER (list_bool_or(list_transform(t.texts, lambda x: contains({_NORM.format('x')}, {_NORM.format('b.u')})))) AS found
+    FROM bg b LEFT JOIN (SELECT qid, list(text) AS texts FROM hit JOIN tok USING (chunk_id) GROUP BY qid) t ON t.qid = b.turn_key GROUP BY b.turn_key""")
 from .oracle import pool, reranked  # noqa: E402
 
 _NR = """, hit_n AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank
@@ -199,3 +199,11 @@ b AS (SELECT *, list_transform(f, lambda x, i: CASE WHEN i = 3 THEN 'Intent 3: I
 SELECT conv_id, turn, md5(array_to_string(list_concat(
    CASE WHEN turn > 0 AND len(f) > 0 THEN list_concat(still[1:len(f) - 1], ['Update (' || role || '):', lines_out[len(f)]]) ELSE lines_out END,
    CASE WHEN note <> '' THEN [note] ELSE [] END), chr(10))) AS text_md5 FROM b"""
+
+_HARD = "regexp_extract_all(line, '[A-Z][a-z]+|[0-9]+')"
+ORACLE["hard_term_containment"] = f"""
+WITH l0 AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations),
+l AS (SELECT conv_id, turn, i - 1 AS n, list_distinct(regexp_extract_all(l[i], '[A-Z][a-z]+|[0-9]+')) AS need FROM l0, unnest(range(1, len(l) + 1)) AS u(i)),
+t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+|[0-9]+')) AS have FROM conversations)
+SELECT l.conv_id, l.turn, l.n::INTEGER AS n, len(need)::INTEGER AS n_terms, count(t.turn) AS n_turns
+FROM l LEFT JOIN t ON t.conv_id = l.conv_id AND list_has_all(have, need) WHERE len(need) > 0 GROUP BY ALL"""
