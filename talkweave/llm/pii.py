@@ -119,7 +119,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     draw = _Stream(key, kind, entity, str(attempt))
     if kind == "mail":
         user, _, host = entity.partition("@")
-        return f"{_shaped(user, draw)}@{_shaped(host.rpartition('.')[0], draw)}.example"
+        more = _shaped("a" * (2 * max(0, (attempt - LISTED + 1) // 2)), draw)       # short users of short hosts run out: the user grows
+        return f"{_shaped(user, draw)}{more}@{_shaped(host.rpartition('.')[0], draw)}.example"
     if kind == "ipv4":
         return ".".join(str(draw.below(256)) for _ in range(4))
     if kind == "secret":

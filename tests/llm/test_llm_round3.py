@@ -183,3 +183,14 @@ def test_ranks_over_partitions(spark):
     got = {r["id"]: r["rank"] for r in resample.ranked(d, *(d[c].desc() for c in ("score", "id"))).collect()}
     order = sorted(range(5000), key=lambda i: (-(i * 7919 % 100), -i))
     assert got == {i: k + 1 for k, i in enumerate(order)}
+
+
+def test_short_mails_do_not_run_out(spark):
+    """Three hundred mails of one shape that has a hundred surrogates: the rest grow, all differ, and one mail keeps one surrogate."""
+    from talkweave.llm import pii
+    mails = [f"{i % 10}@{i // 10 % 10}.{tld}" for tld in ("com", "org", "net") for i in range(100)]
+    found = spark.createDataFrame([("mail", m) for m in [*mails, *mails[:20]]], "kind string, entity string")
+    rows = pii.surrogates(found, b"key").collect()
+    new = {r["entity"]: r["surrogate"] for r in rows}
+    assert len(rows) == len(new) == 300 and len({x.lower() for x in new.values()}) == 300 and not set(new.values()) & set(mails)
+    assert all(x.endswith(".example") for x in new.values())
