@@ -13,6 +13,7 @@ from ..operators import timeline as L
 from ..operators.containment import containment_join
 from ..operators.dense import embed_tokens
 from ..session import stage
+from ..sources import gate_store as GS
 from . import inputs as I
 from .catalog import S, query
 from .layout import blocked_position
@@ -124,13 +125,37 @@ def cue_features(spark, sf):
 
 @query
 def trained_gate(spark, sf):
-    """Softmax gate fitted to the rule gate's labels of the same turns, then the hybrid decision."""
-    rows = G.cue_features(_gated(spark, sf)).withColumn("tokens", T.content_tokens("norm")).select(
-        "turn_key", "has_prev", "tokens", "cues", "label", "confidence")
-    rows = stage(rows, "gate_rows")
-    model = G.train_gate(rows, "tokens", S.embed_dim)
-    h = G.hybrid_gate(G.model_gate(model, rows, "tokens", S.embed_dim))
-    return h.groupBy("label", "model_label", "hybrid_label").agg(F.count("*").alias("turns"))
+    """What the three gates make of every turn; the model is fitted to utterances about the corpus' topics, not to the rules' labels."""
+    weights = I.gate_weights(spark, sf)
+    rows = stage(_gated(spark, sf), "gate_rows")
+    by = lambda kind: G.decide(rows, G.Gate(kind, weights)).select("turn_key", F.col("label").alias(f"{kind}_label"))
+    three = rows.select("turn_key", F.col("label").alias("rule_label")).join(by("model"), "turn_key").join(by("hybrid"), "turn_key")
+    return three.groupBy("rule_label", "model_label", "hybrid_label").agg(F.count("*").alias("turns"))
+
+
+def _gate_rows(spark, sf):
+    ix = I.index(spark, sf)
+    return GS.training_rows(GS.topics(ix.postings, ix.terms)), ix
+
+
+@query
+def gate_training_rows(spark, sf):
+    """Utterances of known kind about every topic of the corpus."""
+    return _gate_rows(spark, sf)[0].select("topic", "kind", "text", "has_prev", "prev_topic", "label", GS.held_out().alias("held_out"))
+
+
+@query
+def gate_holdout(spark, sf):
+    """Right decisions of the three gates on the topics that were not fitted, per true label."""
+    rows, ix = _gate_rows(spark, sf)
+    weights = I.gate_weights(spark, sf)
+    seen = stage(GS.understood(rows.filter(GS.held_out()), ix.terms), "gate_holdout")
+    every = None
+    for kind in ("rule", "model", "hybrid"):
+        d = G.decide(seen, G.Gate(kind, weights)).groupBy("gold").agg(F.count("*").alias("utterances"), F.count_if(F.expr("label = gold")).alias("right"))
+        d = d.select(F.lit(kind).alias("gate"), F.col("gold").alias("label"), "utterances", "right")
+        every = d if every is None else every.unionByName(d)
+    return every
 
 
 @query

@@ -5,9 +5,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.gate import Weights
 from ..session import shared_dir, ship
 from ..settings import Settings
 from ..sources import corpus as C
+from ..sources import gate_store
 from ..sources import index_store as store
 from .layout import read_table, spread
 
@@ -43,8 +45,17 @@ def tokenised(spark: SparkSession, sf: str) -> DataFrame:
 def index(spark: SparkSession, sf: str) -> store.Index:
     """The stored index of the document table, built when this corpus has none yet."""
     ship(spark)
-    fp = "-".join(store.source_fingerprint(read_table(spark, sf, t), SETTINGS) for t in ("documents", "labels"))   # labels decide the status
-    return store.load_or_build(spark, chunks(spark, sf), fp, shared_dir(spark), SETTINGS)
+    return store.load_or_build(spark, chunks(spark, sf), fingerprint(spark, sf), shared_dir(spark), SETTINGS)
+
+
+def fingerprint(spark: SparkSession, sf: str) -> str:
+    """Of the tables that the index depends on; labels decide the status."""
+    return "-".join(store.source_fingerprint(read_table(spark, sf, t), SETTINGS) for t in ("documents", "labels"))
+
+
+def gate_weights(spark: SparkSession, sf: str) -> Weights:
+    """The fitted gate stored for the document table, fitted when it has none yet."""
+    return gate_store.load_or_train(spark, index(spark, sf), fingerprint(spark, sf), shared_dir(spark), SETTINGS.embed_dim)
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from .. import fixed_values as V
 from ..operators.gate import CUES
+from ..sources import gate_store
 from .catalog_metrics import KINDS
 from .oracle import HITS, ORACLE, TOKENS, content, first_units, raw, squeeze, stem, w  # noqa: F401
 
@@ -207,3 +208,20 @@ l AS (SELECT conv_id, turn, i - 1 AS n, list_distinct(regexp_extract_all(l[i], '
 t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+|[0-9]+')) AS have FROM conversations)
 SELECT l.conv_id, l.turn, l.n::INTEGER AS n, len(need)::INTEGER AS n_terms, count(t.turn) AS n_turns
 FROM l LEFT JOIN t ON t.conv_id = l.conv_id AND list_has_all(have, need) WHERE len(need) > 0 GROUP BY ALL"""
+
+
+# ------------------------------------------------------------------ training rows of the gate
+_Q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_SAID = ", ".join(f"({_Q(k.name)}, {_Q(k.label)}, {_Q(k.before)}, {len(k.sentences)}, {i}, {_Q(x)})" for k in gate_store.KINDS for i, x in enumerate(k.sentences))
+_DIGEST = "('0x' || substr(md5({}), 1, 7))::INTEGER"
+ORACLE["gate_training_rows"] = w(TOKENS + f""",
+r AS (SELECT list(term ORDER BY df, term)[1:4] AS r FROM post JOIN idf USING (term) WHERE regexp_full_match(term, '[a-z]{{4,}}')
+      GROUP BY chunk_id HAVING count(*) >= 4),
+tp AS (SELECT DISTINCT r[1] || ' ' || r[2] AS topic, r[3] || ' ' || r[4] AS other FROM r),
+said(kind, label, before, n, i, sentence) AS (VALUES {_SAID}),
+f AS (SELECT *, {_DIGEST.format("topic || '/' || other || '/' || kind")} AS h FROM tp, said)""", f"""
+SELECT topic, kind, replace(replace(replace(replace(replace(sentence, '{{t}}', topic), '{{u}}', other), '{{n}}', (h % 97 + 13)::VARCHAR),
+       '{{m}}', (h % 9 + 3)::VARCHAR), '{{k}}', ['two', 'three', '2', '3'][h % 4 + 1]) AS text, before IS NOT NULL AS has_prev,
+       CASE before WHEN 'topic' THEN topic WHEN 'other' THEN other ELSE '' END AS prev_topic, label,
+       {_DIGEST.format('topic')} % 5 = 0 AS held_out
+FROM f WHERE i = h % n""")

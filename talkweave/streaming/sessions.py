@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import speculation as X
+from ..operators.gate import Weights, choose
 from ..plans.replay import KEY, STATE_COLUMNS, STATE_DDL, Spoken, advance, speak
 from ..settings import Settings
 from ..sources.index_store import Index
@@ -44,8 +45,10 @@ class TurnProcessor:
     A turn ends once in the stream, and is answered once.
     """
 
-    def __init__(self, spark: SparkSession, index: Index, root: str, settings: Settings | None = None, idle_s: float = 3600, every: int = 50):
+    def __init__(self, spark: SparkSession, index: Index, root: str, settings: Settings | None = None, idle_s: float = 3600, every: int = 50,
+                 weights: Weights | None = None):
         self.index, self.root, self.s, self.idle = index, root.rstrip("/"), settings or Settings(), idle_s
+        self.gate = choose(self.s, weights)
         self.states = SessionStore(spark, f"{self.root}/states", f"{STATE_DDL}, turn_id string, ordinal int, at_ms long", every=every)
         self.every = every
         self.early: SessionStore | None = None                   # its columns are those that a search returns
@@ -83,7 +86,7 @@ class TurnProcessor:
             these = turns.filter(F.col("k") == k)
             spoken = self._listen(rows.join(these.select(X.TURN), X.TURN, "left_semi"), state, batch_id, f"{work}/{k}")
             now = these.select(KEY, F.col("turn").cast("string").alias("turn_id"), "text")
-            records, fresh = advance(now, state.select(STATE_COLUMNS), self.index, self.s, f"{work}/{k}", spoken)
+            records, fresh = advance(now, state.select(STATE_COLUMNS), self.index, self.s, f"{work}/{k}", spoken, self.gate)
             records.write.mode("overwrite").parquet(f"{self.root}/records/batch={batch_id}/round={k}")
             place = these.select(KEY, F.col("turn").cast("string").alias("turn_id"), "at_ms").join(state.select(KEY, F.col("ordinal").alias("_o")), KEY, "left")
             fresh = fresh.join(place.select(KEY, "turn_id", "at_ms", (F.coalesce("_o", F.lit(0)) + 1).alias("ordinal")), KEY)
@@ -119,7 +122,7 @@ class TurnProcessor:
         done = spark.createDataFrame([], X.FIRED_DDL) if before is None else before.fired.withColumnRenamed("m", "n").select(
             *spark.createDataFrame([], X.FIRED_DDL).columns)
         live = rows.filter("ended_by IS NULL OR ended_by <> 'silence'")
-        new = speak(live.select(KEY, X.TURN, "seq", "t", "text"), state.select(STATE_COLUMNS), done, self.index, self.s, keep)
+        new = speak(live.select(KEY, X.TURN, "seq", "t", "text"), state.select(STATE_COLUMNS), done, self.index, self.s, keep, self.gate)
         if before is None:
             return new
         both = lambda a, b: a.select(b.columns).unionByName(b)
@@ -147,10 +150,10 @@ class TurnProcessor:
 
 
 def answer_stream(chunks: DataFrame, index: Index, root: str, settings: Settings | None = None, silence_s: float = 30, idle_s: float = 3600,
-                  delay: str = "10 seconds", **trigger):
-    """Starts the query; ``trigger`` as for ``DataStreamWriter.trigger`` (default: all that is available)."""
+                  delay: str = "10 seconds", weights: Weights | None = None, **trigger):
+    """Starts the query; ``trigger`` as for ``DataStreamWriter.trigger`` (default: all that is available), ``weights`` for a fitted gate."""
     return (heard(chunks, silence_s, idle_s, delay).writeStream.outputMode("append")
-            .foreachBatch(TurnProcessor(chunks.sparkSession, index, root, settings, idle_s))
+            .foreachBatch(TurnProcessor(chunks.sparkSession, index, root, settings, idle_s, weights=weights))
             .option("checkpointLocation", f"{root.rstrip('/')}/checkpoint")
             .trigger(**(trigger or {"availableNow": True})).start())
 
