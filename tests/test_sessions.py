@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from talkweave.operators import telemetry
 from talkweave.plans.replay import replay_all
 from talkweave.plans.trace import trace
+from talkweave.plans.turn_output import turn_output
 from talkweave import fixed_values as V
 from talkweave.sources import corpus as C
 from talkweave.sources.session_store import as_of, history
 from talkweave.sources.transcripts import chunk_rows, read_sessions
+from talkweave.sources.turn_files import read_turns, violations, write_turns
 from talkweave.streaming.sessions import answer_stream, partial_transcripts, read_chunks
 
 SESSIONS = [{"session_id": "workshop", "turns": [
@@ -116,6 +118,48 @@ def test_trace_of_the_replay_is_complete(replayed):
     assert early["e"] and early["n"] >= 2
 
 
+def test_turn_records_round_trip(spark, replayed, records, sessions):
+    out = turn_output(replayed).cache()
+    path = tempfile.mkdtemp(prefix="run-") + "/turns"
+    write_turns(out, path)
+    order = ["session_id", "turn_id"]
+    assert read_turns(spark, path).orderBy(order).collect() == out.orderBy(order).collect()
+    got = {(r["session_id"], r["turn_id"]): r for r in out.collect()}
+    assert set(got) == set(records)
+    for k, r in got.items():
+        want = records[k]
+        assert (r["kind"], r["text"], r["version"], r["citations"]) == (want["kind"], want["text"], want["version"], want["citations"])
+        assert [q["text"] for q in r["sub_queries"]] == want["queries"]
+        assert [u["message"] for u in r["uncertainty"]] == [u["message"] for u in want["uncertainty"]]
+        assert (r["diff"] is not None) == (r["kind"] == "refinement") and r["gate"]["label"] in V.GATE_LABELS
+    first, late, small_talk = got[("workshop", "0")], got[("workshop", "1")], got[("travel", "1")]
+    assert first["early"] and first["latency"]["retrieval_lead_ms"] > 0 and {q["trigger"] for q in first["sub_queries"]} & {"multi_intent", "provisional"}
+    assert late["diff"]["parent_version"] == first["version"] and set(late["diff"]["retired"]) == set(records[("workshop", "1")]["retired"])
+    assert not small_talk["retrieved"] and small_talk["cost"]["cpu_ms"] == 0 and small_talk["intents"] == [] and small_talk["cost"]["answer_words"] == 0
+    # chunks are what was heard, with its times
+    for r in sessions.collect():
+        o = got[(r["session_id"], str(r["turn"]))]
+        assert [(c["t"], c["text"]) for c in o["chunks"]] == [(p["t"], p["text"].strip()) for p in r["parts"]]
+        assert o["t_end"] == pytest.approx(r["end_t"], abs=1e-3)
+    line = json.loads(spark.read.text(path).filter("value LIKE '%workshop%'").first()[0])
+    assert all(isinstance(c, list) and isinstance(c[0], (int, float)) and isinstance(c[1], str) for c in line["chunks"])
+
+
+def test_broken_records_are_not_written(spark, replayed):
+    out = turn_output(replayed).limit(2).cache()
+    path = tempfile.mkdtemp(prefix="run-") + "/turns"
+    assert violations(out).count() == 0
+    cases = {"unknown kind": out.withColumn("kind", F.lit("song")), "text is missing": out.withColumn("text", F.lit(None).cast("string")),
+             "turn occurs twice": out.union(out), "negative version": out.withColumn("version", F.lit(-1)),
+             "uncertainty without message": out.withColumn("uncertainty", F.expr("array(named_struct('message', CAST(NULL AS STRING), 'intent_id', '1', 'doc_id', 'd'))")),
+             "unknown trigger": out.withColumn("sub_queries", F.expr("array(named_struct('qid', 'q', 'text', 't', 'keywords', '', 'trigger', 'whim', 'origin', '', 'alt', ''))"))}
+    for rule, df in cases.items():
+        with pytest.raises(ValueError, match=rule):
+            write_turns(df, path)
+    write_turns(out.limit(0), path)                               # nothing is a valid output
+    assert read_turns(spark, path).count() == 0
+
+
 def test_stream_equals_batch(spark, sessions, fixture_index, records):
     """Two batches that cut the first turn in the middle: what was searched in the first serves the answer in the second."""
     root = tempfile.mkdtemp(prefix="run-")
