@@ -9,7 +9,11 @@ A run is deleted if it holds ``MIN_WORDS`` words or more and occurs earlier (by
 enough to look at the shortest windows of that weight: those that start at a line and those that end at one.  Each line
 of a maximal repeated run of that weight lies in such a window inside the run.  A line weighs its words, one at least, so a window has
 at most ``MIN_WORDS`` lines and the rounds don't depend on the data.  A window of m lines is named by the ranks of its first and its
-last 2^k lines (2^k <= m < 2^(k+1)); its first occurrence stays, all others go.
+last 2^k lines (2^k <= m < 2^(k+1)); its first occurrence counts as the original and all others go.
+
+An occurrence that overlaps the original is a later one too.  So a run that repeats itself without a break shrinks to what no later window
+covers: of sixty equal lines of one word the first stays, not the first fifty; of fifteen equal lines of five words, the first.  No text is
+lost by that, since every deleted line equals one that stays, but the weight of what stays may be below ``MIN_WORDS``.
 
 Everything is DataFrame expressions.  The only rows that meet by document are its repeated lines; rows with a common
 rank meet in partial aggregates and in joins that adaptive execution can split.

@@ -114,3 +114,12 @@ def test_code_estimates_are_unbiased_and_bounded():
     estimate, true = (x * turned).sum(axis=1) / f, (a * b).sum(axis=1)
     bound = vectors.SIGMAS * np.sqrt((1 - f * f) / (f * f) / 47)
     assert abs((estimate - true).mean()) < 0.01 and (abs(estimate - true) <= bound).mean() > 0.9999
+
+
+def test_line_dedup_of_runs_that_repeat_themselves(spark):
+    """A stretch that overlaps its original counts as later, and a copy of every deleted line stays."""
+    texts = ["\n".join(["x"] * 60), "\n".join(["a b c d e"] * 15), "\n".join(["a", "b c"] * 40), "\n".join(f"only {i}" for i in range(60))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["n_deleted"], r["row"]["text"]) for r in linededup.dedup_lines(d).collect()}
+    assert got[0] == (59, "x") and got[1] == (14, "a b c d e") and got[3] == (0, texts[3])
+    assert {x for t in texts for x in t.split("\n")} == {x for _, t in got.values() for x in t.split("\n")}
