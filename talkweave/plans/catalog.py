@@ -68,9 +68,10 @@ def front_matter(spark, sf):
 @query
 def jsonl_sections(spark, sf):
     """Conversation turns as records without a section: numbered within their document."""
-    c = I.conversations(spark, sf)
-    return blocked_position(c.select("conv_id", "turn", "role"), "conv_id", "turn", "section").select(
-        F.concat_ws("§", "conv_id", "section").alias("chunk_id"), "turn", "role")
+    record = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.to_json(F.struct("turn", "role")).alias("text")))
+    lines = I.conversations(spark, sf).select(F.lit("conversations.jsonl").alias("path"), F.col("turn").cast("long").alias("offset"), record.alias("raw"))
+    said = F.from_json("text", "turn long, role string")
+    return C.jsonl_chunks(lines, block=4096).select("chunk_id", said["turn"].alias("turn"), said["role"].alias("role"))
 
 
 @query

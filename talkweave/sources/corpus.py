@@ -1,14 +1,16 @@
-"""Corpus sources: directories of md/txt/jsonl/pdf files and document tables -> one chunk table.
+"""Corpus sources: directories of md/txt/jsonl files and document tables -> one chunk table.
 
 Every parser is a column expression over one row per document, so a corpus of any size is read
 in one narrow pass; only the duplicate-id check shuffles (ids alone, partially aggregated).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.layout import blocked_position
+from .files import read_files
 
 SECTION_CUT = r"(?m)(?=^##\s*§\s*\d)"
 SECTION_PART = r"\A##\s*§\s*(\d+)\s*[.:-]?\s*([^\n]*)"
@@ -87,83 +89,36 @@ def markdown_chunks(docs: DataFrame, window_words: int = 180) -> DataFrame:
 
 
 def read_directory(spark: SparkSession, path: str, window_words: int = 180) -> DataFrame:
-    """Recursive scan by suffix: markdown/txt, jsonl and (where pypdf is present) pdf."""
-    whole = (spark.read.option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN],[tT][xX][tT]}").text(path, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    md = markdown_chunks(whole.filter(~name.startswith(".") & (F.lower(name) != "readme.md")), window_words)
-    js = jsonl_chunks(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
-                      .text(path).select(F.col("_metadata.file_path").alias("path"),
-                                         F.col("_metadata.file_block_start").alias("block"),
-                                         F.monotonically_increasing_id().alias("line"), F.col("value").alias("raw")))
-    pdf = pdf_chunks(spark, path, window_words)
-    return reject_duplicate_ids(md.unionByName(js).unionByName(pdf))
+    """Chunks of all markdown, text and jsonl files below a folder; dotfiles and ``readme.md`` are no corpus files."""
+    docs = read_files(spark, path, "md", "markdown", "txt", whole=True).select("path", "raw")
+    return reject_duplicate_ids(markdown_chunks(docs, window_words).unionByName(jsonl_chunks(read_files(spark, path, "jsonl"))))
 
 
 JSONL_SCHEMA = ("doc_id string, id string, title string, text string, section string, section_title string, "
                 "status string, superseded_by string, category string, effective_date string")
 
 
-def jsonl_chunks(lines: DataFrame) -> DataFrame:
-    """``lines(path, block, line, raw)`` -> chunk table; a record without section takes its number in the document.
+def jsonl_chunks(lines: DataFrame, block: int = 1 << 22) -> DataFrame:
+    """``lines(path, offset, raw)`` -> chunk table; a record without section takes its number among its document's records in the file.
 
-    A document's records are numbered by file order: per scanned partition first, then shifted by the
-    totals of the partitions before, so one document may span many tasks.  A line that is not a JSON object
-    with a ``doc_id`` or ``id`` fails the job.  An empty ``doc_id`` or ``section`` counts as absent.
+    The number follows the offsets: counted within stretches of ``block`` bytes of a file, then shifted by the stretches
+    before, so a document may fill files of any size and no task holds more than one stretch.  A line that is not a JSON object
+    with a ``doc_id`` or ``id`` fails the job.  An empty ``doc_id`` or ``section`` counts as absent; blank lines count nothing.
     """
-    rec = lines.filter(F.trim("raw") != "").select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "path", "line",
-        F.from_json("raw", JSONL_SCHEMA).alias("r")).select("source", "path", "line", "r.*")
+    rec = lines.filter(F.trim("raw") != "").select("path", "offset", F.from_json("raw", JSONL_SCHEMA).alias("r")).select("path", "offset", "r.*")
     present = lambda c: F.nullif(F.col(c), F.lit(""))
     rec = rec.withColumn("doc_id", F.coalesce(present("doc_id"), present("id"), F.raise_error(
-        F.concat(F.lit("no JSON record with doc_id or id: line of "), "path")))).drop("id").withColumn("section", present("section"))
-    # the upper bits of a monotonically increasing id are the scan partition
-    rec = rec.withColumn("part", F.shiftright("line", 33))
-    w = Window.partitionBy("path", "doc_id", "part").orderBy("line")
-    before = Window.partitionBy("path", "doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rec.groupBy("path", "doc_id", "part").agg(F.count("*").alias("n")).select(
-        "path", "doc_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    numbered = rec.withColumn("k", F.row_number().over(w)).join(totals, ["path", "doc_id", "part"])
+        F.concat(F.lit("no JSON record with doc_id or id: line at byte "), "offset", F.lit(" of "), "path")))).drop("id")
+    rec = rec.withColumn("_document", F.struct("path", "doc_id"))
+    numbered = blocked_position(rec, "_document", "offset", "k", block=block)
     return _finish(numbered.select(
-        "source", "doc_id",
-        F.coalesce("section", (F.col("k") + F.col("before")).cast("string")).alias("section"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "doc_id",
+        F.coalesce(present("section"), F.col("k").cast("string")).alias("section"),
         F.coalesce("section_title", F.lit("")).alias("section_title"),
         F.coalesce("title", "doc_id").alias("doc_title"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("status", F.lit("current")).alias("status"), "superseded_by", "category", "effective_date"))
 
 
-def pdf_chunks(spark: SparkSession, path: str, window_words: int = 180) -> DataFrame:
-    """One or more windows per page.  Page text comes from pypdf, which is optional."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content"))
-
-    def pages(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            import io
-
-            from pypdf import PdfReader
-            for p, content in zip(pdf["path"], pdf["content"]):
-                for n, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1):
-                    pdf_row = {"path": [p], "page": [n], "raw": [page.extract_text() or ""]}
-                    yield type(pdf)(pdf_row)
-
-    rows = files.mapInPandas(pages, "path string, page int, raw string")
-    stem_col = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
-    win = rows.select("path", "page", F.posexplode(T.windows("raw", window_words)).alias("pos", "w"))
-    order = Window.partitionBy("path").orderBy("page", "pos")      # bounded by one file
-    return _finish(win.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), doc_id_of_stem(stem_col).alias("doc_id"),
-        F.row_number().over(order).cast("string").alias("section"),
-        F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" "), F.col("w.section_title"))
-        .alias("section_title"),
-        stem_col.alias("doc_title"), F.col("w.text").alias("text"), F.lit("current").alias("status"),
-        F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast("string").alias("effective_date")))
-
-
 def _finish(df: DataFrame) -> DataFrame:
     return df.select(
         F.concat("doc_id", F.lit("§"), "section").alias("chunk_id"), "doc_id", "section", "section_title", "doc_title",

@@ -232,6 +232,6 @@ def test_suffixes_in_any_case_and_bad_lines(spark):
         f.write(json.dumps({"doc_id": "", "id": "J1", "section": "", "text": "First record here."}) + "\n" + json.dumps({"id": "J1", "text": "Second record here."}) + "\n")
     got = {r["chunk_id"] for r in C.read_directory(spark, d).collect()}
     assert {"J1§1", "J1§2"} <= got and any(c.startswith("Doc_09") for c in got)
-    lines = spark.createDataFrame([("x/a.jsonl", 0, 0, "{not json"), ("x/a.jsonl", 0, 1, '{"id": "a", "text": "t"}')], "path string, block long, line long, raw string")
+    lines = spark.createDataFrame([("x/a.jsonl", 0, "{not json"), ("x/a.jsonl", 10, '{"id": "a", "text": "t"}')], "path string, offset long, raw string")
     with pytest.raises(Exception, match="no JSON record"):
         C.jsonl_chunks(lines).collect()
