@@ -5,7 +5,7 @@ title (``Mr``, ``Frau``, ...).  ``replace`` gives each distinct entity of the co
 different entities keep different surrogates.
 
 A surrogate is made with a keyed hash (BLAKE2b) of kind, canonical entity and attempt, and keeps what is checked by type: digits stay digits and
-separators stay; a number that passes the Luhn test gets a surrogate that does; parts of an IPv4 address stay in range; letters keep case and script
+separators stay, an international number keeps its country code; a number that passes the Luhn test gets a surrogate that does; parts of an IPv4 address stay in range; letters keep case and script
 (Latin, Greek, Cyrillic, and others by their own block); hexadecimal secrets stay hexadecimal; names take the gender that the
 title says, from a list of their script, and letters of that script are appended, more with every second attempt, when the list is used up.
 
@@ -16,14 +16,18 @@ that needed more than one attempt: a measured small table goes to the tasks and
 ``SMALL`` rows the spans of each row are joined to it instead.
 
 Defined cases: null stays null, empty stays empty; a text of any length is read whole; equal entities, also of different rows, get the same surrogate;
-forms that differ in case only (mails, names) are one entity and keep their own case; other columns are kept, whatever their names.
+forms that differ in case only (mails, names) are one entity and keep their own case; telephone and other numbers are one entity when their digits (and a
+leading plus) are equal, and each keeps its own separators; a capitalised name that a title introduces is replaced without its title too, anywhere in that
+text (where titles of both genders introduce it, the last one before it counts); other columns are kept, whatever their names.
 """
 from __future__ import annotations
 
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,8 +55,12 @@ NAMES = {("latin", "f"): "Anna Clara Elena Irene Julia Laura Maria Nora Paula So
          ("cyrillic", "m"): "Антон Борис Виктор Иван Максим Олег Павел Роман".split(),
          ("greek", "f"): "Άννα Ελένη Μαρία Σοφία Ειρήνη Δάφνη".split(),
          ("greek", "m"): "Γιώργος Νίκος Πέτρος Ανδρέας Ηλίας Λουκάς".split()}
+# The country codes of one and of two digits; all others have three.
+CODES = {1: ("1", "7"), 2: ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57",
+                            "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")}
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _FORMS = {k: re.compile(p) for k, p in PATTERNS}
+_WORD = re.compile(r"[^\W\d_]+")
 _HINTS = {"secret": re.compile("(?i)token|passw|secret|key"), "mail": re.compile("@"), "ipv4": re.compile(r"\d\."), "phone": re.compile(r"\d[\d).\- ]"),
           "number": re.compile(r"\d{4}"), "name": re.compile(r"M|Fr|Herr|S[re]|г-")}
 
@@ -76,9 +84,44 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "name":
                 title = text[m.start():s].strip(" .").lower()
                 out.append((s, e, kind, ("f " if title in FEMALE else "m ") + raw.casefold()))
+            elif kind == "mail":
+                out.append((s, e, kind, raw.casefold()))
             else:
-                out.append((s, e, kind, raw.casefold() if kind == "mail" else raw))
-    return sorted(out)
+                out.append((s, e, kind, _digits(raw) if kind in ("phone", "number") else raw))
+    return sorted(out + _untitled(text, out))
+
+
+def _digits(raw: str) -> str:
+    """A number without its separators; a leading plus tells international numbers from others."""
+    return ("+" if raw[0] == "+" else "") + re.sub(r"\D", "", raw)
+
+
+def _untitled(text: str | None, found: list) -> list[tuple[int, int, str, str]]:
+    """Further places of the names in ``found`` that stand without a title."""
+    titled = sorted((s, e, key) for s, e, kind, key in found if kind == "name" and text[s].isupper())
+    if not titled:
+        return []
+    by: dict[str, list[tuple[int, str]]] = {}
+    for s, e, key in titled:
+        by.setdefault(text[s:e], []).append((s, key))
+    taken = sorted((s, e) for s, e, _, _ in found)
+    words, more, i, at = [m.span() for m in _WORD.finditer(text)], [], 0, 0
+    while i < len(words):
+        hit = next(((words[i][0], words[j - 1][1], j) for j in (i + 2, i + 1)
+                    if j <= len(words) and text[words[i][0]:words[j - 1][1]] in by), None)
+        i += 1
+        if hit is None:
+            continue
+        s, e, j = hit
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at < len(taken) and taken[at][0] < e:
+            continue
+        places = by[text[s:e]]
+        before = bisect_left(places, (s, ""))
+        more.append((s, e, "name", places[max(0, before - 1)][1]))
+        i = j
+    return more
 
 
 class _Stream:
@@ -133,14 +176,23 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         first = known[draw.below(len(known))] if known else _shaped(parts[0], draw)
         first += _shaped(ALPHABETS.get(written, parts[0])[0] * (2 * max(0, (attempt - LISTED + 1) // 2)), draw)
         return " ".join([first, *(_shaped(p, draw).capitalize() for p in parts[1:])])
-    digits = re.sub(r"\D", "", entity)
-    keep = re.match(r"\+\d{1,3}(?=\D)", entity) if kind == "phone" else None          # the country code
-    start = keep.end() if keep else 0
-    new = [str(draw.below(10)) if c.isdigit() and i >= start else c for i, c in enumerate(entity)]
-    if kind == "number" and luhn(digits):
-        last = max(i for i, c in enumerate(new) if c.isdigit())
-        new[last] = next(d for d in "0123456789" if luhn(re.sub(r"\D", "", "".join([*new[:last], d, *new[last + 1:]]))))
-    return "".join(new)
+    start = 0                                   # an international number keeps its country code
+    if entity[0] == "+":
+        start = 1 + next((n for n, codes in CODES.items() if entity[1:1 + n] in codes), 3)
+    new = entity[:start] + "".join(str(draw.below(10)) for _ in entity[start:])
+    if kind == "number" and luhn(entity):
+        new = next(x for x in (new[:-1] + d for d in "0123456789") if luhn(x))
+    return new
+
+
+def in_form(kind: str, old: str, new: str) -> str:
+    """The surrogate in the case (mails, names) or with the separators (numbers) of the form that it replaces."""
+    if kind in ("phone", "number"):
+        digit = iter(new.removeprefix("+"))
+        return "".join(next(digit) if c.isdigit() else c for c in old)
+    if kind not in ("mail", "name"):
+        return new
+    return new.upper() if old.isupper() else new.lower() if old.islower() else new
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +203,10 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt, surrogate) of the distinct entities of ``found(kind, entity)``; surrogates differ and none is an entity of its kind."""
-    make = F.udf(lambda kind, entity, attempt: surrogate(key, kind, entity, attempt), "string")
+    @F.arrow_udf("string")
+    def make(kind: pa.Array, entity: pa.Array, attempt: pa.Array) -> pa.Array:
+        return pa.array([surrogate(key, *x) for x in zip(kind.to_pylist(), entity.to_pylist(), attempt.to_pylist())], pa.string())
+
     entities = stage(found.groupBy("kind", "entity").agg(F.count("*").alias("uses")).select("kind", "entity"), "entities")
     real = entities.select(F.col("kind").alias("k"), F.lower(F.when(F.col("kind") == "name", F.substring("entity", 3, 1 << 30)).otherwise(F.col("entity"))).alias("e")).distinct()
     left, done = entities, None
@@ -171,17 +226,11 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     raise ValueError("a kind of entity has more members than surrogates")
 
 
-def cased(old: str, new: str) -> str:
-    """The surrogate in the case of the form that it replaces."""
-    return new.upper() if old.isupper() else new.lower() if old.islower() else new
-
-
 def swap(text: str | None, key: bytes, later: dict) -> tuple[str | None, list]:
     """The text with surrogates, and (kind, start, end) of each in it; ``later`` has attempts above 0 by (kind, entity)."""
     out, at, size, spans = [], 0, 0, []
     for s, e, kind, entity in detect(text):
-        new = surrogate(key, kind, entity, later.get((kind, entity), 0))
-        new = cased(text[s:e], new) if kind in ("mail", "name") else new
+        new = in_form(kind, text[s:e], surrogate(key, kind, entity, later.get((kind, entity), 0)))
         out += [text[at:s], new]
         size += s - at
         spans.append((kind, size, size + len(new)))
@@ -190,6 +239,12 @@ def swap(text: str | None, key: bytes, later: dict) -> tuple[str | None, list]:
 
 
 SPANS = "array<struct<kind:string,s:int,e:int>>"
+_NEW = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))])
+
+
+def _swapped(texts: pa.Array, key: bytes, later: Iterator[dict]) -> pa.Array:
+    done = (swap(t.as_py(), key, x) for t, x in zip(texts, later))
+    return pa.array([{"text": t, "spans": [dict(zip(("kind", "s", "e"), x)) for x in spans]} for t, spans in done], _NEW)
 
 
 def replace(docs: DataFrame, key: bytes, small: int = SMALL) -> DataFrame:
@@ -199,13 +254,22 @@ def replace(docs: DataFrame, key: bytes, small: int = SMALL) -> DataFrame:
     kind = f"struct<text:string,spans:{SPANS}>"
     if late.count() <= small:
         sent = {(r["kind"], r["entity"]): r["attempt"] for r in late.collect()}
-        new = docs.select(F.struct("*").alias("row"), F.udf(lambda t: swap(t, key, sent), kind)("text").alias("new"))
+
+        @F.arrow_udf(kind)
+        def apply(texts: pa.Array) -> pa.Array:
+            return _swapped(texts, key, repeat(sent))
+
+        new = docs.select(F.struct("*").alias("row"), apply("text").alias("new"))
     else:
         rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "rows")
         spans = rows.select("rid", "row.text").mapInArrow(_owned, "rid long, kind string, entity string").distinct()
         lists = spans.join(late, ["kind", "entity"]).groupBy("rid").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("late"))
-        apply = F.udf(lambda t, x: swap(t, key, {(r["kind"], r["entity"]): r["attempt"] for r in x or []}), kind)
-        new = rows.join(lists, "rid", "left").select("row", apply("row.text", "late").alias("new"))
+
+        @F.arrow_udf(kind)
+        def apply_own(texts: pa.Array, late: pa.Array) -> pa.Array:
+            return _swapped(texts, key, ({(r["kind"], r["entity"]): r["attempt"] for r in x.as_py() or []} for x in late))
+
+        new = rows.join(lists, "rid", "left").select("row", apply_own("row.text", "late").alias("new"))
     return new.select(F.col("row").withField("text", F.col("new.text")).alias("row"), "new.spans")
 
 
