@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from talkweave.operators import lexical
+from talkweave.operators import grounding, lexical
 from talkweave.operators.dense import embed_tokens, signed_bucket
 from talkweave.sources import corpus as C
 from talkweave.sources import index_store
@@ -47,3 +47,19 @@ def test_vectors_are_signed_counts(spark):
             b = signed_bucket(t, 8)
             want[abs(b) - 1] += np.sign(b)
         assert vec == want.tolist()
+
+
+def test_tokens_of_chunks_are_not_shuffled_after_they_met_a_claim(spark):
+    chunks = spark.createDataFrame([("A §1", "A", "1", "opens at 8 daily", ["open", "8", "daili"]), ("A §2", "A", "2", "closes at 20", ["clos", "20"])],
+                                   "label string, doc_title string, section_title string, text string, tokens array<string>")
+    rows = [("k1", "a", "open open close 8 and 20 [A §1, A §2]", None), ("k2", "a", "open close [A §1]", None), ("k3", "a", "open [A §1, B §9]", None),
+            ("k4", "a", "open 21 [A §1]", None), ("k5", "a", "[A §2]", None), ("k6", "a", "nothing cited", None)]
+    claims = spark.createDataFrame(rows, "claim_id string, answer_id string, text string, citations array<string>")
+    seen = spark.createDataFrame([("a", "A §1")], "answer_id string, label string")
+    checked = grounding.verify(claims, chunks, seen)
+    got = {r["claim_id"]: (r["score"], r["supported"], r["supported_strict"], r["fabricated_ids"], r["unretrieved_ids"]) for r in checked.collect()}
+    assert got == {"k1": (1.0, True, False, [], ["A §2"]), "k2": (0.5, False, False, [], []), "k3": (1.0, False, False, ["B §9"], []),
+                   "k4": (0.0, False, False, [], []), "k5": (1.0, True, False, [], ["A §2"]), "k6": (0.0, False, False, [], [])}
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[:plan.index("Join")]                              # what is grouped: no tokens of chunks
+    assert "s_tokens" not in top and "c_tokens" not in top
