@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dialogue as D
 from ..operators import gate as G
+from ..plans.layout import top_per_key
 
 MAX_ROWS = 20000                          # rows that are fitted; scores cover all
+COMMON = 1 << 16                          # terms whose df is sent to all tasks; the others meet theirs in a join
 
 
 @dataclass(frozen=True)
@@ -63,11 +65,16 @@ KINDS = (
 COUNTS = ("two", "three", "2", "3")
 
 
-def topics(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def topics(postings: DataFrame, terms: DataFrame, common: int = COMMON) -> DataFrame:
     """(topic, other): of every chunk the four terms that the fewest chunks hold, in pairs; chunks with fewer than four words have none."""
     words = terms.filter("term RLIKE '^[a-z]{4,}$' AND df IS NOT NULL").select("term", "df")
-    rare = postings.select("term", "chunk_id").join(words, "term").groupBy("chunk_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, 4).alias("r")).filter("size(r) = 4")
+    often = F.broadcast(words.orderBy(F.desc("df"), "term").limit(common))     # most postings get their df from these few, where they lie
+    held = postings.filter("term RLIKE '^[a-z]{4,}$'").select("term", "chunk_id").join(often, "term", "left")
+    order = [F.asc("df"), F.asc("term")]
+    known = top_per_key(held.filter("df IS NOT NULL"), "chunk_id", order, 4).drop("rank")
+    other = held.filter("df IS NULL").select("term", "chunk_id").join(words, "term")
+    rare = top_per_key(known.unionByName(other), "chunk_id", order, 4).groupBy("chunk_id").agg(
+        F.array_sort(F.collect_list(F.struct("df", "term"))).alias("r")).filter("size(r) = 4")
     return rare.select(F.expr("concat(r[0].term, ' ', r[1].term)").alias("topic"), F.expr("concat(r[2].term, ' ', r[3].term)").alias("other")).distinct()
 
 

@@ -8,7 +8,7 @@ import pytest
 from talkweave.operators import grounding, lexical
 from talkweave.operators.dense import embed_tokens, signed_bucket
 from talkweave.sources import corpus as C
-from talkweave.sources import index_store
+from talkweave.sources import gate_store, index_store
 
 
 def written(path):
@@ -49,6 +49,23 @@ def test_vectors_are_signed_counts(spark):
         assert vec == want.tolist()
 
 
+@pytest.mark.parametrize("common", [0, 3, 100])
+def test_topics_are_the_four_rarest_terms(spark, common):
+    held = {f"c{i}": [f"term{chr(97 + k)}" for k in range(8) if i % (k + 1) == 0] + ["abc", "x1234"] for i in range(24)}
+    df = Counter(t for ts in held.values() for t in ts)
+    postings = spark.createDataFrame([(t, c) for c, ts in held.items() for t in ts], "term string, chunk_id string").repartition(3)
+    terms = spark.createDataFrame(list(df.items()), "term string, df long")
+    want = set()
+    for ts in held.values():
+        r = sorted((df[t], t) for t in ts if t.startswith("term"))[:4]
+        if len(r) == 4:
+            want.add((f"{r[0][1]} {r[1][1]}", f"{r[2][1]} {r[3][1]}"))
+    got = gate_store.topics(postings, terms, common)
+    assert want and set(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan                            # a chunk's common terms are cut to four before the shuffle
+
+
 def test_tokens_of_chunks_are_not_shuffled_after_they_met_a_claim(spark):
     chunks = spark.createDataFrame([("A §1", "A", "1", "opens at 8 daily", ["open", "8", "daili"]), ("A §2", "A", "2", "closes at 20", ["clos", "20"])],
                                    "label string, doc_title string, section_title string, text string, tokens array<string>")
