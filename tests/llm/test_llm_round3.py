@@ -96,6 +96,28 @@ def test_phrases_become_active_in_mid_cycle(spark):
     assert {r["words"] for r in second} == {1, 2} and all(r["until"] == 3 for r in second if r["words"] == 2)
 
 
+def test_only_found_phrases_leave_a_block_with_their_texts(spark, monkeypatch):
+    """Scans write hashes; the last pass names what is in the table of bits, and is exact when all longer phrases share one hash."""
+    d = spark.createDataFrame([("en", "of the day of the night, of the day"), (None, "of the day")], "lang string, text string").coalesce(1)
+    row = phrases.blocks(d, 1, 1000).first().asDict()
+    cells = np.zeros(1 << 16, np.uint8)
+    counted = [r for b in phrases._block_counts(row, 1, cells, 3, 2) for r in b.to_pylist()]
+    assert set(counted[0]) == {"until", "known", "words", "hash", "n"}
+    one = max((r for r in counted if r["words"] == 2), key=lambda r: r["n"])
+    bits = np.zeros(1 << 13, np.uint8)
+    for c in (one["hash"] & 0xFFFF, (one["hash"] >> 32) & 0xFFFF):
+        bits[c >> 3] |= 1 << (c & 7)
+    assert [tuple(r.values()) for b in phrases._block_phrases(row, bits, 16, 2) for r in b.to_pylist()] == [("en", b"of the", 2, 3)]
+    monkeypatch.setattr(phrases, "_mix", lambda h: h & np.uint64(0))
+    got = defaultdict(int)
+    for b in phrases._block_phrases(row, np.full(1 << 13, 255, np.uint8), 16, 4):
+        for r in b.to_pylist():
+            got[r["lang"], r["phrase"].decode()] += r["n"]
+    want = plain_counts([("en", 0, "of the day of the night, of the day"), (None, 1, "of the day")], 4)
+    assert got == {(g, " ".join(p)): n for g, c in want.items() for p, n in c.items()}
+    assert row["totals"] == [9, 3]
+
+
 def plain_classes(rows):
     groups = defaultdict(list)
     for _, i, t in rows:
