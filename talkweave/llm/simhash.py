@@ -10,9 +10,9 @@ have such a code in common, so linking everything that lists a code to the small
 pairs.
 
 ``similar_groups`` links documents whose sets of five-word shingles are alike by ``SIMILARITY`` (Jaccard) or more, and no others: the exact sets
-decide, so neither a signature nor the size of the table can change a link.  Candidates come from bands of ``ROWS`` minimum hashes of the set, because SimHash bits
-of such sets differ in a sixth of all places and more for short texts; a pair at the threshold shares one of the bands with the chance ``RECALL``, whatever
-the length of its texts.  Members of a band of more than ``DENSE`` sets are compared to its smallest id first; what is not yet joined to that one is compared to
+decide, so neither a signature nor the size of the table can change a link.  Candidates are first what the SimHash fingerprints of ``near_duplicates`` link (two bits
+or fewer, by the same multi-index tables).  SimHash bits of texts at the threshold differ in a sixth of all places and more for short texts, so bands of ``ROWS`` minimum
+hashes of the set give the candidates that two bits don't reach: a pair at the threshold shares one of the bands with the chance ``RECALL``, whatever the length of its texts.  Members of a band of more than ``DENSE`` sets are compared to its smallest id first; what is not yet joined to that one is compared to
 the whole band tile by tile, which gives spanning edges.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any others; copies and repeated rows share one
@@ -155,12 +155,12 @@ def bands_at(similarity: float = SIMILARITY) -> int:
 
 
 def signed_of(text: Column, bands: int) -> Column:
-    @F.pandas_udf(StructType().add("sid", BinaryType()).add("size", LongType()).add("bands", ArrayType(LongType())))
+    @F.pandas_udf(StructType().add("sid", BinaryType()).add("size", LongType()).add("bands", ArrayType(LongType())).add("fp", LongType()))
     def signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             sets = [shingle_set(x) for x in t]
             yield pd.DataFrame({"sid": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "size": [len(h) for h in sets],
-                                "bands": [bands_of(h, bands).tolist() for h in sets]})
+                                "bands": [bands_of(h, bands).tolist() for h in sets], "fp": [fingerprint(x) for x in t]})
     return signed(text)
 
 
@@ -195,8 +195,19 @@ def _tiles(similarity: float):
     return run
 
 
+def fingerprint_pairs(signed: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (u, v, size, size2) of sets whose SimHash fingerprints differ in at most two bits; those of one fingerprint meet its smallest."""
+    printed = stage(signed.select("sid", "fp").distinct().join(held.select("sid", "cid", "size"), "sid").select("fp", F.struct("cid", "size").alias("set")), "fingerprints")
+    hubs = printed.groupBy("fp").agg(F.min("set").alias("hub"))
+    same = printed.join(hubs, "fp").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+    edges = links(hubs.select("fp"))
+    near = edges.join(hubs.select(F.col("fp").alias("u"), F.col("hub").alias("a")), "u").join(hubs.select(F.col("fp").alias("v"), F.col("hub").alias("b")), "v").select("a", "b")
+    met = same.unionByName(near).filter("a.cid <> b.cid").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return met.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"), F.col("a.size").alias("size"), F.col("b.size").alias("size2"))
+
+
 def similar_groups(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(sid, root, component_id) for every distinct shingle set of ``signed(doc_id, th, sid, size, bands)``; ``texts(th, text)`` has the texts."""
+    """(sid, root, component_id) for every distinct shingle set of ``signed(doc_id, th, sid, size, bands, fp)``; ``texts(th, text)`` has the texts."""
     held = stage(signed.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("bands").alias("bands"))
                  .withColumn("cid", F.monotonically_increasing_id()), "sets")
     cut = held.select("cid", "size", F.explode("bands").alias("band"))
@@ -206,7 +217,8 @@ def similar_groups(signed: DataFrame, texts: DataFrame, similarity: float = SIMI
     fits = F.least("size", "size2") / F.greatest("size", "size2") >= similarity
     pairs = calm.join(calm.select("band", F.col("cid").alias("v"), F.col("size").alias("size2")), "band").filter("cid > v").filter(fits).select(F.col("cid").alias("u"), "v")
     spokes = busy.withColumn("size2", F.col("hub.size")).filter("cid <> hub.cid").filter(fits).select(F.col("cid").alias("u"), F.col("hub.cid").alias("v"))
-    pairs = stage(pairs.unionByName(spokes).distinct(), "pairs")
+    printed = fingerprint_pairs(signed, held).filter(fits).select("u", "v")
+    pairs = stage(printed.unionByName(pairs).unionByName(spokes).distinct(), "pairs")
     needed = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).unionByName(busy.select("cid")).distinct()
     named = texts.join(held.join(needed, "cid").select("cid", "th"), "th").groupBy("cid").agg(F.min("text").alias("text"))
     sets = stage(named.select("cid", shingles_of("text").alias("h")), "shingles")
