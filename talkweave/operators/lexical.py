@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.layout import top_per_key
-from .topk import result_schema, scan_topk
+from .topk import QUERY_SLICE, result_schema, scan_topk
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
@@ -113,49 +113,97 @@ def bm25_topk(query_terms: DataFrame, posting_rows: DataFrame, avgdl: float, k:
     return top_per_key(scored, "qkey", [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def bm25_topk_scan(query_terms: DataFrame, chunks: DataFrame, avgdl: float, k: int, k1: float = 1.4,
-                   b: float = 0.75) -> DataFrame:
-    """The same result for a small (measured) query block, read from the chunk rows.
-
-    A chunk's score is complete inside one row, so every task keeps only its own k best per query;
-    the join above would shuffle a row for every chunk that shares any term with any query.
-    """
-    ddl, schema = result_schema(query_terms, chunks, "qkey", "chunk_id")
+def _query_block(query_terms: DataFrame):
+    """Broadcast of a small block: query keys, the terms they hold with their idf, and each query's places among the terms."""
     table = query_terms.groupBy("qkey").agg(F.collect_list(F.struct("term", "idf")).alias("t")).toArrow()
-    keys = table.column("qkey").to_numpy()
     lists = table.column("t").combine_chunks()
     flat = lists.flatten()
     encoded = flat.field("term").dictionary_encode() if len(flat) else pa.array([], pa.string()).dictionary_encode()
     index = encoded.indices.to_numpy()
     weights = np.zeros(len(encoded.dictionary))
     weights[index] = flat.field("idf").to_numpy() if len(flat) else 0.0
+    keys = table.column("qkey").combine_chunks()
     bounds = lists.offsets.to_numpy() if len(keys) else np.zeros(1, dtype=int)
-    shared = chunks.sparkSession.sparkContext.broadcast((keys, encoded.dictionary, weights, index, bounds))
+    return query_terms.sparkSession.sparkContext.broadcast((keys, encoded.dictionary, weights, index, bounds))
+
+
+def _batch_scores(value, avgdl: float, k1: float, b: float):
+    """Function of a batch's token lists -> function of a query slice -> scores[slice, rows]."""
+    _, vocabulary, weights, index, bounds = value
+
+    def batch(tokens: pa.Array):
+        n, dl = len(tokens), np.diff(tokens.offsets.to_numpy())
+        found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy()
+        owner = np.repeat(np.arange(n), dl)
+        hit = found >= 0
+        pair, tf = np.unique(found[hit].astype(np.int64) * n + owner[hit], return_counts=True)
+        term, row = pair // n, pair % n
+        gain = weights[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+        start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+
+        def score(part: slice) -> np.ndarray:
+            out = np.zeros((part.stop - part.start, n))
+            for i, q in enumerate(range(part.start, part.stop)):
+                for t in index[bounds[q]:bounds[q + 1]]:
+                    span = slice(start[t], start[t + 1])
+                    out[i, row[span]] += gain[span]       # a chunk occurs once per term
+            return out
+
+        return score
+
+    return batch
+
+
+def _totals(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("qkey").agg(F.count("*").alias("chunks"), F.max("score").alias("best"), F.sum("score").alias("total"))
+
+
+def bm25_totals(query_terms: DataFrame, chunks: DataFrame, avgdl: float, k1: float = 1.4, b: float = 0.75) -> DataFrame:
+    """(qkey, chunks, best, total) of all positive scores of a small (measured) query block.
+
+    A chunk's scores are complete inside its row, so a task leaves one row per query; as a join, every query would shuffle a
+    row for each chunk that shares a term with it.  Only rows of repeated chunk ids meet by their postings.
+    """
+    alone, shared = _repeated(chunks.select("chunk_id", "tokens"))
+    block = _query_block(query_terms)
+    key = query_terms.schema["qkey"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = block.value[0]
+        score = _batch_scores(block.value, avgdl, k1, b)
+        n, best, total = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
+        for rows in batches:
+            if rows.num_rows == 0:
+                continue
+            of = score(rows.column(1))
+            for start in range(0, len(keys), QUERY_SLICE):
+                part = slice(start, min(start + QUERY_SLICE, len(keys)))
+                s = np.round(of(part), 6)
+                n[part] += (s > 0).sum(axis=1)
+                best[part] = np.maximum(best[part], s.max(axis=1))
+                total[part] += s.sum(axis=1)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(met)), pa.array(n[met]), pa.array(best[met]), pa.array(total[met])],
+                                         ["qkey", "chunks", "best", "total"])
+
+    every = alone.mapInArrow(scan, f"qkey {key}, chunks long, best double, total double")
+    if shared is not None:
+        every = every.unionByName(_totals(bm25_scores(query_terms, postings(shared), avgdl, k1, b)))
+    return every.groupBy("qkey").agg(F.sum("chunks").alias("chunks"), F.max("best").alias("best"), F.sum("total").alias("total"))
+
+
+def bm25_topk_scan(query_terms: DataFrame, chunks: DataFrame, avgdl: float, k: int, k1: float = 1.4,
+                   b: float = 0.75) -> DataFrame:
+    """The same result for a small (measured) query block, read from the chunk rows.
+
+    A chunk's score is complete inside one row, so every task keeps only its own k best per query;
+    the join above would shuffle a row for every chunk that shares any term with any query.
+    """
+    ddl, schema = result_schema(query_terms, chunks, "qkey", "chunk_id")
+    shared = _query_block(query_terms)
 
     def scorer(value):
-        keys, vocabulary, weights, index, bounds = value
-
-        def batch(rows: pa.RecordBatch):
-            tokens = rows.column(1)
-            n, dl = len(tokens), np.diff(tokens.offsets.to_numpy())
-            found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy()
-            owner = np.repeat(np.arange(n), dl)
-            hit = found >= 0
-            pair, tf = np.unique(found[hit].astype(np.int64) * n + owner[hit], return_counts=True)
-            term, row = pair // n, pair % n
-            gain = weights[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
-            start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-
-            def score(part: slice) -> np.ndarray:
-                out = np.zeros((part.stop - part.start, n))
-                for i, q in enumerate(range(part.start, part.stop)):
-                    for t in index[bounds[q]:bounds[q + 1]]:
-                        span = slice(start[t], start[t + 1])
-                        out[i, row[span]] += gain[span]       # a chunk occurs once per term
-                return out
-
-            return rows.column(0).to_numpy(zero_copy_only=False), score
-
-        return keys, batch
+        score = _batch_scores(value, avgdl, k1, b)
+        return value[0].to_numpy(zero_copy_only=False), lambda rows: (rows.column(0).to_numpy(zero_copy_only=False), score(rows.column(1)))
 
     return scan_topk(chunks.select("chunk_id", "tokens"), shared, scorer, k, ddl, schema, floor=0.0)
