@@ -18,8 +18,9 @@ from ..functions import text as T
 from ..operators import dialogue as D
 from ..operators import gate as G
 from ..plans.layout import top_per_key
+from ..session import stage
 
-MAX_ROWS = 20000                          # rows that are fitted; scores cover all
+FITTED = 2                                # which way of fitting: weights of another are not read
 COMMON = 1 << 16                          # terms whose df is sent to all tasks; the others meet theirs in a join
 
 
@@ -108,17 +109,16 @@ def understood(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return G.rule_gate(n, D.clauses(n, "turn_key"), "turn_key")
 
 
-def fit(rows: DataFrame, terms: DataFrame, dim: int, limit: int = MAX_ROWS) -> G.Weights:
-    """Weights from the rows of topics that are not held out, at most ``limit`` of them, taken by digest."""
-    some = rows.filter(~held_out()).orderBy(F.md5(F.concat_ws("/", "kind", "topic", "other"))).limit(limit)
-    x = G.cue_features(understood(some, terms)).withColumn("_tokens", T.content_tokens("norm"))
-    return G.train_gate(x, "_tokens", dim, "gold")
+def fit(rows: DataFrame, terms: DataFrame, dim: int) -> G.Weights:
+    """Weights from all rows of the topics that are not held out."""
+    x = G.cue_features(understood(rows.filter(~held_out()), terms)).withColumn("_tokens", T.content_tokens("norm"))
+    return G.train_gate(stage(x.select("_tokens", "cues", "gold"), "gate_fit"), "_tokens", dim, "gold")       # read three times
 
 
-def fingerprint(corpus: str, dim: int, limit: int = MAX_ROWS) -> str:
-    """Changes with the corpus, the sentences, the vector size and the bound of fitted rows."""
+def fingerprint(corpus: str, dim: int, fitted: int = FITTED) -> str:
+    """Changes with the corpus, the sentences, the vector size and the way of fitting."""
     kinds = json.dumps([[k.name, k.label, k.before, *k.sentences] for k in KINDS])
-    return hashlib.sha256(f"{corpus}/{kinds}/{dim}/{limit}".encode()).hexdigest()[:16]
+    return hashlib.sha256(f"{corpus}/{kinds}/{dim}/{fitted}".encode()).hexdigest()[:16]
 
 
 def save(spark: SparkSession, weights: G.Weights, print_: str, root: str) -> None:
@@ -138,11 +138,11 @@ def load(spark: SparkSession, print_: str, root: str) -> G.Weights | None:
     return G.Weights([list(r["weights"]) for r in rows], [r["intercept"] for r in rows], rows[0]["dim"])
 
 
-def load_or_train(spark: SparkSession, index, corpus: str, root: str, dim: int, limit: int = MAX_ROWS) -> G.Weights:
+def load_or_train(spark: SparkSession, index, corpus: str, root: str, dim: int) -> G.Weights:
     """The weights stored for this corpus, else fitted to its topics and stored."""
-    print_ = fingerprint(corpus, dim, limit)
+    print_ = fingerprint(corpus, dim)
     found = load(spark, print_, root)
     if found is None:
-        found = fit(training_rows(topics(index.postings, index.terms)), index.terms, dim, limit)
+        found = fit(training_rows(topics(index.postings, index.terms)), index.terms, dim)
         save(spark, found, print_, root)
     return found
