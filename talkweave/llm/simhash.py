@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from .common import stage
+from ..plans.layout import broadcast_if_small
+from .common import shuffled, stage
 from .graph import components
 
 SHINGLE = 3
@@ -122,15 +123,15 @@ def links(fps: DataFrame) -> DataFrame:
     crowd = held.groupBy("half", "value").agg(F.count("*").alias("n"), F.min("other").alias("least"))
     calm, busy = crowd.filter(F.col("n") <= CROWDED), crowd.filter(F.col("n") > CROWDED)
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    sparse = held.join(calm.select("half", "value"), ["half", "value"])
-    pairs = (probes.join(sparse, ["half", "value"]).filter("fp > other").filter(bits <= RADIUS)
+    sparse = shuffled(held).join(calm.select("half", "value"), ["half", "value"])
+    pairs = (shuffled(probes).join(sparse, ["half", "value"]).filter("fp > other").filter(bits <= RADIUS)
              .select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct())
-    touched = probes.join(busy.select("half", "value"), ["half", "value"]).select("fp").distinct()
+    touched = shuffled(probes).join(busy.select("half", "value"), ["half", "value"]).select("fp").distinct()
     fp = F.col("fp")
     codes = F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     listed = touched.select("fp", F.explode(codes).alias("code"))
     centre = listed.groupBy("code").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v <> most").select("code", "v")
-    stars = listed.join(centre, "code").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    stars = shuffled(listed).join(centre, "code").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return pairs.unionByName(stars)
 
 
@@ -138,7 +139,7 @@ def groups(fingerprinted: DataFrame) -> DataFrame:
     """(fp, root, component_id) for every distinct fingerprint of ``fingerprinted(doc_id, fp)``."""
     fps = stage(fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     root = components(links(fps.select("fp")))
-    rooted = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(shuffled(root), fps["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
@@ -199,9 +200,10 @@ def fingerprint_pairs(signed: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (u, v, size, size2) of sets whose SimHash fingerprints differ in at most two bits; those of one fingerprint meet its smallest."""
     printed = stage(signed.select("sid", "fp").distinct().join(held.select("sid", "cid", "size"), "sid").select("fp", F.struct("cid", "size").alias("set")), "fingerprints")
     hubs = printed.groupBy("fp").agg(F.min("set").alias("hub"))
-    same = printed.join(hubs, "fp").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+    same = shuffled(printed).join(hubs, "fp").select(F.col("set").alias("a"), F.col("hub").alias("b"))
     edges = links(hubs.select("fp"))
-    near = edges.join(hubs.select(F.col("fp").alias("u"), F.col("hub").alias("a")), "u").join(hubs.select(F.col("fp").alias("v"), F.col("hub").alias("b")), "v").select("a", "b")
+    near = (edges.join(shuffled(hubs.select(F.col("fp").alias("u"), F.col("hub").alias("a"))), "u")
+            .join(shuffled(hubs.select(F.col("fp").alias("v"), F.col("hub").alias("b"))), "v").select("a", "b"))
     met = same.unionByName(near).filter("a.cid <> b.cid").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return met.select(F.col("a.cid").alias("u"), F.col("b.cid").alias("v"), F.col("a.size").alias("size"), F.col("b.size").alias("size2"))
 
@@ -212,10 +214,10 @@ def similar_groups(signed: DataFrame, texts: DataFrame, similarity: float = SIMI
                  .withColumn("cid", F.monotonically_increasing_id()), "sets")
     cut = held.select("cid", "size", F.explode("bands").alias("band"))
     sizes = cut.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("cid", "size")).alias("hub")).filter("n > 1")
-    members = stage(cut.join(sizes, "band"), "bands")
+    members = stage(shuffled(cut).join(sizes, "band"), "bands")
     calm, busy = members.filter(F.col("n") <= DENSE).select("band", "cid", "size"), members.filter(F.col("n") > DENSE)
     fits = F.least("size", "size2") / F.greatest("size", "size2") >= similarity
-    pairs = calm.join(calm.select("band", F.col("cid").alias("v"), F.col("size").alias("size2")), "band").filter("cid > v").filter(fits).select(F.col("cid").alias("u"), "v")
+    pairs = shuffled(calm).join(calm.select("band", F.col("cid").alias("v"), F.col("size").alias("size2")), "band").filter("cid > v").filter(fits).select(F.col("cid").alias("u"), "v")
     spokes = busy.withColumn("size2", F.col("hub.size")).filter("cid <> hub.cid").filter(fits).select(F.col("cid").alias("u"), F.col("hub.cid").alias("v"))
     printed = fingerprint_pairs(signed, held).filter(fits).select("u", "v")
     pairs = stage(printed.unionByName(pairs).unionByName(spokes).distinct(), "pairs")
@@ -223,10 +225,11 @@ def similar_groups(signed: DataFrame, texts: DataFrame, similarity: float = SIMI
     named = texts.join(held.join(needed, "cid").select("cid", "th"), "th").groupBy("cid").agg(F.min("text").alias("text"))
     sets = stage(named.select("cid", shingles_of("text").alias("h")), "shingles")
     shared = F.size(F.array_intersect("h", "h2"))
-    edges = stage(pairs.join(sets.withColumnRenamed("cid", "u"), "u").join(sets.select(F.col("cid").alias("v"), F.col("h").alias("h2")), "v")
+    few = broadcast_if_small(pairs, 32 * pairs.count(), 8 << 20)
+    edges = stage((few if few is not pairs else shuffled(pairs)).join(sets.withColumnRenamed("cid", "u"), "u").join(sets.select(F.col("cid").alias("v"), F.col("h").alias("h2")), "v")
                   .filter(shared / (F.size("h") + F.size("h2") - shared) >= similarity).select("u", "v"), "alike")
     root = components(edges)
-    rooted = busy.select("band", "cid", F.col("hub.cid").alias("hub")).join(root, F.col("cid") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "cid"))
+    rooted = busy.select("band", "cid", F.col("hub.cid").alias("hub")).join(shuffled(root), F.col("cid") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "cid"))
     centre = rooted.filter("cid = hub").select("band", F.col("root").alias("centre"))
     apart = F.col("root") != F.col("centre")
     rooted = stage(rooted.join(centre, "band").withColumn("apart", apart).drop("hub", "centre"), "rooted")
@@ -240,7 +243,7 @@ def similar_groups(signed: DataFrame, texts: DataFrame, similarity: float = SIMI
         dense = (placed.withColumn("p", F.explode(meet)).select("band", "p.i", "p.j", "p.side", "cid", "root", "h")
                  .groupBy("band", "i", "j").applyInArrow(_tiles(similarity), "u long, v long"))
         root = components(edges.unionByName(dense))
-    rooted = held.join(root, held["cid"] == root["node"], "left").select("sid", "least", F.coalesce("root", "cid").alias("root"))
+    rooted = held.join(shuffled(root), held["cid"] == root["node"], "left").select("sid", "least", F.coalesce("root", "cid").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "root", "component_id")
 
 
