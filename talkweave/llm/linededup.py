@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import shuffled, stage
 
 MIN_WORDS = 50
 
@@ -54,7 +54,7 @@ def _ranked(keys: DataFrame, *by: str) -> DataFrame:
 def _level(at: DataFrame, a: str, b: str) -> DataFrame:
     """(rid, i, rank) where the pair (a, b) of a position occurs at least twice."""
     twice = at.groupBy(a, b).agg(F.count("*").alias("n")).filter("n > 1").select(a, b)
-    return at.join(_ranked(twice, a, b), [a, b]).select("rid", "i", "rank")
+    return shuffled(at).join(_ranked(twice, a, b), [a, b]).select("rid", "i", "rank")
 
 
 def _runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -86,22 +86,22 @@ def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(rid, p, m): windows of lines that occur earlier; ``rows`` as from ``numbered``."""
     lines = stage(_lines(rows), "lines")
     twice = lines.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
-    repeated = stage(_runs(lines.join(_ranked(twice, "h", "g"), ["h", "g"]).select("rid", "doc_id", "i", "w", "rank"), min_words), "repeated")
+    repeated = stage(_runs(shuffled(lines).join(_ranked(twice, "h", "g"), ["h", "g"]).select("rid", "doc_id", "i", "w", "rank"), min_words), "repeated")
     level = repeated.select("rid", "i", "rank")
     levels = level.withColumn("k", F.lit(0))
     k = 0
     while 2 ** (k + 1) <= min_words:
         shifted = level.select("rid", (F.col("i") - 2 ** k).alias("i"), F.col("rank").alias("b"))
-        level = stage(_level(level.withColumnRenamed("rank", "a").join(shifted, ["rid", "i"]), "a", "b"), "level")
+        level = stage(_level(shuffled(level).withColumnRenamed("rank", "a").join(shifted, ["rid", "i"]), "a", "b"), "level")
         k += 1
         levels = levels.unionByName(level.withColumn("k", F.lit(k)))
     w = _windows(repeated, min_words).withColumn("k", F.floor(F.log2("m") + 1e-9).cast("int"))
     w = w.withColumn("q", F.col("p") + F.col("m") - F.expr("shiftleft(1, k)"))
-    named = stage(w.join(levels.select("rid", "k", F.col("i").alias("p"), F.col("rank").alias("a")), ["rid", "k", "p"])
-                  .join(levels.select("rid", "k", F.col("i").alias("q"), F.col("rank").alias("b")), ["rid", "k", "q"])
+    named = stage(w.join(shuffled(levels.select("rid", "k", F.col("i").alias("p"), F.col("rank").alias("a"))), ["rid", "k", "p"])
+                  .join(shuffled(levels.select("rid", "k", F.col("i").alias("q"), F.col("rank").alias("b"))), ["rid", "k", "q"])
                   .select("m", "a", "b", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "p").alias("place")), "windows")
     first = stage(named.groupBy("m", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
-    return named.join(first, ["m", "a", "b"]).filter("place > first").select("place.rid", "place.p", "m")
+    return shuffled(named).join(first, ["m", "a", "b"]).filter("place > first").select("place.rid", "place.p", "m")
 
 
 def _islands(windows: DataFrame) -> DataFrame:
