@@ -73,7 +73,7 @@ def topics(postings: DataFrame, terms: DataFrame, common: int = COMMON) -> DataF
     held = postings.filter("term RLIKE '^[a-z]{4,}$'").select("term", "chunk_id").join(often, "term", "left")
     order = [F.asc("df"), F.asc("term")]
     known = top_per_key(held.filter("df IS NOT NULL"), "chunk_id", order, 4).drop("rank")
-    other = held.filter("df IS NULL").select("term", "chunk_id").join(words, "term")
+    other = held.filter("df IS NULL").select("term", "chunk_id").hint("merge").join(words, "term")    # all terms are no small side
     rare = top_per_key(known.unionByName(other), "chunk_id", order, 4).groupBy("chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("df", "term"))).alias("r")).filter("size(r) = 4")
     return rare.select(F.expr("concat(r[0].term, ' ', r[1].term)").alias("topic"), F.expr("concat(r[2].term, ' ', r[3].term)").alias("other")).distinct()
@@ -105,7 +105,8 @@ def understood(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """``training_rows`` with what the gates read: terms, cues and the rule gate's own decision (``label``); the given label is ``gold``."""
     t = rows.withColumn("turn_key", F.md5(F.concat_ws("/", "topic", "other", "kind"))).withColumnRenamed("label", "gold").withColumn(
         "prev_topic", T.content_tokens("prev_topic"))
-    n = D.with_vocabulary(D.normalise(t), terms, "turn_key")
+    t = t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "turn_key")    # few bytes, much work: not by size
+    n = D.with_vocabulary(stage(D.normalise(t), "gate_normalised"), terms, "turn_key")                # read for its words and for its rows
     return G.rule_gate(n, D.clauses(n, "turn_key"), "turn_key")
 
 
